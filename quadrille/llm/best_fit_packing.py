@@ -57,14 +57,14 @@ class WordTokens:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, out = self.known, []
+        known, get, word, out = self.known, self.known.get, self._word, []
         for t in texts:
             if len(known) > _REMEMBERED:
                 known.clear()
             if not self.short or _OTHER.search(t) or any(a in t for a in self.added):
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([known[w] if w in known else self._word(w) for w in t.lower().split()]))
+                out.append(b"".join([get(w) or word(w) for w in t.lower().split()]))
         return out
 
 

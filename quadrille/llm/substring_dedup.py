@@ -245,8 +245,9 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | Non
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 2, keep_text: bool = False, names: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_removed, and kept_sha256 or, with keep_text, the kept words
-    joined by one space; `names` are further columns of docs that go along.
+    """One row for each row of docs: id, n_words, n_removed, and kept_sha256 or, with keep_text, kept_text: the
+    kept words joined by one space, or the text as it is if all are kept.  `names` are further columns
+    of docs that go along.
 
     A word goes if a window of `window` words covers it whose words also stand in a document with a
     smaller id.  docs are added to a FingerprintIndex in `batches` ranges of ids.
@@ -291,9 +292,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 text = w.data.tobytes()
                 start, end = w.start.tolist(), w.end.tolist()
                 out, removed = [], []
+                bounds = w.at.tolist()
                 for i in range(len(part)):
                     a, b = int(first_word[i]), int(first_word[i + 1])
                     removed.append(int(gone[a:b].sum()))
+                    if keep_text and not removed[-1]:
+                        out.append(text[bounds[i] : bounds[i + 1]].decode())
+                        continue
                     kept = range(a, b) if not removed[-1] else (np.flatnonzero(~gone[a:b]) + a).tolist()
                     words = b" ".join([text[start[k] : end[k]] for k in kept])
                     out.append(words.decode() if keep_text else hashlib.sha256(words).hexdigest())
