@@ -163,7 +163,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(out)
 
 
-def by_bytes(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, name: str, most: int = 2 << 20):
     """Slices of batch of about so many bytes of text; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

@@ -72,17 +72,42 @@ def _rows(kind: int, bucket, ids, h, g=None, docs=None, many=None) -> pa.RecordB
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
+def _by_id(ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs: (distinct ids, how many hashes each has, the hashes)."""
+    order = np.lexsort((h, ids))
+    ids, h = ids[order], h[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+    own, counts = np.unique(ids[keep], return_counts=True)
+    return own, counts, h[keep]
+
+
 def _told(ids: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each document one row with the hashes it is told of."""
+    """What documents are told, one row for each of `buckets` groups of documents."""
     if not len(ids):
         return
-    order = np.lexsort((h, ids))
-    ids, h = ids[order], h[order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    firsts, groups = ids[np.r_[0, cut]], np.split(h, cut)
-    for i in range(0, len(groups), 4096):
-        own = firsts[i : i + 4096]
-        yield _rows(_TOLD, (own % buckets).astype(np.int32), own, [pack_sorted(np.unique(x)) for x in groups[i : i + 4096]])
+    group = (ids % buckets).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.diff(group[order])) + 1
+    made = [_by_id(ids[part], h[part]) for part in np.split(order, cut)]
+    yield _rows(
+        _TOLD, group[order[np.r_[0, cut]]], None, [pack_sorted(x[2]) for x in made], [pack(x[1].astype(np.uint64)) for x in made], [pack(x[0].view(np.uint64)) for x in made]
+    )
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a group, with all the hashes that it is told of."""
+    got = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            got.append((np.repeat(unpack(row["ids"]).view(np.int64), unpack(row["g"]).astype(np.int64)), unpack_sorted(row["h"])))
+    if got:
+        own, counts, h = _by_id(*(np.concatenate(x) for x in zip(*got)))
+        cut = np.cumsum(counts)
+        for i in range(0, len(own), 8192):
+            ends = cut[i : i + 8192]
+            starts = ends - counts[i : i + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 8192]), pa.array([pack_sorted(h[a:b]) for a, b in zip(starts, ends)], pa.binary())], ["id", "told"])
 
 
 def _sorted_entries(ids: np.ndarray, h: np.ndarray, g: np.ndarray | None, many: np.ndarray | None):
@@ -189,7 +214,7 @@ class FingerprintIndex:
         for _, old in self.runs[log]:
             discard(self.spark, old)
         self.runs[log] = [(merged.where(F.col("kind") == _RUN), path)]
-        return merged.where(F.col("kind") == _TOLD).groupBy("id").agg(F.collect_list("h").alias("told"))
+        return merged.where(F.col("kind") == _TOLD).repartition(n, "bucket").mapInArrow(_gather, "id long, told binary")
 
     def add(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
         """batch, history: (id, t), the new documents and all earlier ones.  Returns (id, told): for
@@ -204,7 +229,7 @@ class FingerprintIndex:
                         ids, h, g = find(part, _Windows(part.column("t"), window, anchor))
                         held.append((ids, h, g))
                         size += len(h)
-                        if size > 2_000_000:
+                        if size > 1_000_000:
                             yield from _combine(*_joined(held), n, tell_least)
                             held, size = [], 0
                 if size:
@@ -225,7 +250,7 @@ class FingerprintIndex:
             first = np.searchsorted(row, np.arange(len(part) + 1))
             for i, told in enumerate(part.column("told").to_pylist()):
                 a, b = first[i], first[i + 1]
-                hit[a:b] = np.isin(low[a:b], np.concatenate([unpack_sorted(x) for x in told]))
+                hit[a:b] = np.isin(low[a:b], unpack_sorted(told))
             w.where = w.where[hit]
             h, g = w.hashes()
             return part.column("id").to_numpy()[row[hit]], h, g
@@ -282,10 +307,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 told_of = part.column("told").to_pylist()
                 if any(x for x in told_of):
                     h, _ = w.hashes()
-                    for i, blobs in enumerate(told_of):
-                        if blobs:
+                    for i, blob in enumerate(told_of):
+                        if blob:
                             a, b = first[i], first[i + 1]
-                            hit = w.where[a:b][np.isin(h[a:b], np.concatenate([unpack_sorted(x) for x in blobs]))]
+                            hit = w.where[a:b][np.isin(h[a:b], unpack_sorted(blob))]
                             np.add.at(covered, hit, 1)
                             np.add.at(covered, hit + window, -1)
                 gone = np.cumsum(covered[:-1]) > 0
