@@ -10,12 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# Functions of this package travel to executors by value: these need not have the repository on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
