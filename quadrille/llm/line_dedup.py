@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing.  Rows of one id are one document, whose lines of one number are not compared."""
     lines = "_lines"
     found = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("id", "_id")
-    joined = docs.withColumn(lines, F.split(text_col, "\n")).join(found, F.col(id_col) == F.col("_id"), "left")
+    # cut after the join: the lines would else be shuffled beside the text
+    joined = docs.join(found, F.col(id_col) == F.col("_id"), "left").withColumn(lines, F.split(text_col, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
     return joined.select(
