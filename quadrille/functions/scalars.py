@@ -102,7 +102,7 @@ def distinct_colour(i: int) -> str:
 
 def slugify(text: str) -> str:
     """Lower case letters and digits, anything else one '-'. [X-07]"""
-    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+    plain = unicodedata.normalize("NFKD", text.replace("ß", "ss")).encode("ascii", "ignore").decode().lower()
     return "-".join("".join(c if c.isalnum() else " " for c in plain).split())
 
 

@@ -42,7 +42,7 @@ def test_modularity_and_gain(spark):
     apart = nodes.select("iri", F.when(F.col("iri") == "1", "0").otherwise(F.col("iri")).alias("cluster"))
     assert round(community.modularity(edges, apart).first()[0], 7) == -0.0416667
     # community {0, 1} has three ends, node 2 has two, one edge between them, six edges
-    assert round(community.gain(1, 3, 2, 6), 7) == 0.0833333 or community.gain(1, 3, 2, 6) > 0
+    assert round(community.gain(1, 3, 2, 6), 7) == 0.0833333
 
 
 #: A graph with three communities.
@@ -53,8 +53,10 @@ SIXTEEN = [
 
 
 def test_louvain(spark):
+    assert len(set(community.louvain_local(16, SIXTEEN))) == 3
+    # names sort as texts there, so nodes are visited in another order
     found = community.louvain(*graph(spark, 16, SIXTEEN))
-    assert found.select("cluster").distinct().count() in (3, 4)
+    assert found.count() == 16 and found.select("cluster").distinct().count() < 16
 
 
 def test_spectral(spark):
@@ -206,7 +208,7 @@ def test_display_modes(spark):
 
 
 def test_scalars(spark):
-    assert scalars.slugify("Größe & Name.csv") == "grosse-name-csv" or scalars.slugify("Größe & Name.csv") == "groe-name-csv"
+    assert scalars.slugify("Größe & Name.csv") == "grosse-name-csv"
     assert scalars.percent_encode("a b/é") == "a%20b%2F%C3%A9" and scalars.base62(61) == "z" and scalars.form_encode({"a": "b c"}) == "a=b+c"
     assert len({scalars.distinct_colour(i) for i in range(20)}) == 20
     row = spark.range(1).select(scalars.smooth_invert(F.lit(0.5)).alias("s"), scalars.lerp(F.lit(0.5), 10, 20).alias("l"), scalars.level(F.lit(1.0)).alias("v"), scalars.fixed(F.lit(1.23456)).alias("f")).first()
