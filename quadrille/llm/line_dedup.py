@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import release, stage
+
+
+def _halves(text: str, before: Column) -> list[tuple[Column, Column, Column]]:
+    """(whether, key, rest), four times: a half of the text is cut off at its front or end, and its hash goes
+    on from `before`.
+
+    A half has 2**n characters for a text of twice to under four times as many, so of two texts one edit
+    apart an equal half can be cut off.  A text one short of the next class is cut as in that one too."""
+    long = F.length(text)
+    half = F.expr(f"shiftleft(1, length(bin(length(`{text}`))) - 2)")
+    made = []
+    for m, when in ((half, F.lit(True)), (half * 2, F.bit_count(long + 1) == 1)):
+        front, back = F.substring(text, F.lit(1), m), F.substring(text, long - m + 1, m)
+        made.append((when, F.xxhash64(before, m, F.lit(0), front), F.substring(text, m + 1, long)))
+        made.append((when, F.xxhash64(before, m, F.lit(1), back), F.substring(text, F.lit(1), long - m)))
+    return made
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose `key` another row has too."""
+    return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, most: int = 64) -> DataFrame:
     """(id, gone): the numbers, from 0, of the lines of each document that an earlier line repeats.
 
     Lines are compared without spaces, tabs and carriage returns at their ends.  A line of `least`
-    characters or more goes if an equal line stands earlier, by (id, line number), in any document; one of at most
-    `most` characters also if an earlier line of `least` to `most` characters is one edit away.
+    characters or more goes if one that is equal, or one edit away, stands earlier, by (id, line
+    number), in any document.
+
+    Only `most` characters or a few more are cut into variants, one for each character left out.  Of a longer
+    line, halves that another line shares are cut off first, and halves of the rest, until that is short: an
+    edit leaves one of two halves as it is.  The hash of what was cut off goes into the variants' keys.
 
     Variants that a substitution shares keep the place of the character left out: all lines with
     such a key are one edit apart, so each needs the earliest of them, not pairs.  A line and one with a
     further character meet where a variant of the second equals the first.  Keys are hashes; the
-    edit distance of what meets is verified."""
+    edit distance of what meets is verified over the whole lines."""
+    spark = docs.sparkSession
     line = F.btrim("line", F.lit(" \t\r"))
     lines = (
         docs.where(F.col(id_col).isNotNull())
@@ -24,38 +52,68 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("id", "no", line.alias("line"))
         .where(F.length("line") >= least)
     )
-    keyed = lines.select("id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), F.when(F.length("line") <= most, F.col("line")).alias("short"))
-    first = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("own"), F.first("short").alias("short"))
+    hashed = lines.select("id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
+    size = F.length("line")
+    # lines of most + 1 characters are short as well as long: they may be an edit from either
+    keyed = hashed.select(
+        "id", "no", "h", "g", F.when(size <= most + 1, F.col("line")).alias("short"),
+        *[F.when((size > most) & when, key).alias(f"k{i}") for i, (when, key, _) in enumerate(_halves("line", F.lit(0).cast("long")))],
+    )
+    halves = [f"k{i}" for i in range(4)]
+    grouped = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("own"), *[F.first(c).alias(c) for c in ("short", *halves)])
+    first, _ = stage(grouped, "lines")
+
+    # long lines with a half that another has, and their text
+    cut = first.where("k0 is not null").select("h", "g", "own", F.explode(F.array_compact(F.array(*halves))).alias("key"))
+    found, _ = stage(_shared(cut).select("h", "g", "own").distinct(), "halves")
+    place = found.select(F.col("own.id").alias("id"), F.col("own.no").alias("no"), "h", "g", "own")
+    texts = hashed.where(size > most).join(place, ["id", "no", "h", "g"]).select("h", "g", "own", "line")
+    long_lines, _ = stage(texts.dropDuplicates(["h", "g"]), "long")
+    release(spark)
+    nothing = F.lit(0).cast("long").alias("pre")
+    state, ends = long_lines.select("h", "g", "own", nothing, F.col("line").alias("mid")), []
+    while True:
+        longer = state.where(F.length("mid") > most)
+        if longer.isEmpty():
+            break
+        options = F.array(*[F.when(when, F.struct(key.alias("key"), rest.alias("rest"))) for when, key, rest in _halves("mid", F.col("pre"))])
+        split = longer.select("h", "g", "own", F.explode(F.array_compact(options)).alias("o")).select("h", "g", "own", F.col("o.key").alias("key"), F.col("o.rest").alias("rest"))
+        state, _ = stage(_shared(split).select("h", "g", "own", F.col("key").alias("pre"), F.col("rest").alias("mid")).distinct(), "rests")
+        ends.append(state.where(F.length("mid") <= most + 1))
 
-    short = first.where("short is not null").select("h", "g", "own", "short")
-    places = F.sequence(F.lit(1), F.length("short"))
-    cut = short.select("h", "g", "own", F.explode(places).alias("i"), "short")
-    before, after = F.expr("substring(short, 1, i - 1)"), F.expr("substring(short, i + 1)")
+    brief = first.where("short is not null").select("h", "g", "own", nothing, F.col("short").alias("mid"))
+    for more in ends:
+        brief = brief.unionByName(more)
+    places = F.sequence(F.lit(1), F.length("mid"))
+    cut = brief.where("mid <> ''").select("h", "g", "own", "pre", F.explode(places).alias("i"), "mid")
+    before, after = F.expr("substring(mid, 1, i - 1)"), F.expr("substring(mid, i + 1)")
     # substitutions: the earliest line of each key, for all lines of the key
     same = Window.partitionBy("key")
     swapped = (
-        cut.select("h", "g", "own", F.xxhash64(before, F.col("i"), after).alias("key"))
+        cut.select("h", "g", "own", F.xxhash64("pre", before, F.col("i"), after).alias("key"))
         .withColumn("near", F.min(F.struct("own", "h", "g")).over(same))
         .where("near.own < own")
         .select("h", "g", F.col("near.own").alias("own2"), F.col("near.h").alias("h2"), F.col("near.g").alias("g2"))
     )
     # insertions and deletions: a line's variant is another line
-    dropped = cut.select("h", "g", "own", F.xxhash64(F.concat(before, after)).alias("key")).distinct()
-    met = dropped.join(short.select(F.col("h").alias("key"), F.col("g").alias("g2"), F.col("own").alias("own2")), "key")
-    grown = met.select("h", "g", "own2", F.col("key").alias("h2"), "g2", "own").select("h", "g", "own", "own2", "h2", "g2")
+    dropped = cut.select("h", "g", "own", F.xxhash64("pre", F.concat(before, after)).alias("key")).distinct()
+    whole = brief.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.xxhash64("pre", "mid").alias("key"))
+    grown = dropped.join(whole, "key").where("h <> h2 or g <> g2")
     both = grown.where("own2 < own").select("h", "g", "own2", "h2", "g2").unionByName(
         grown.where("own < own2").select(F.col("h2").alias("h"), F.col("g2").alias("g"), F.col("own").alias("own2"), F.col("h").alias("h2"), F.col("g").alias("g2"))
     )
     pairs = swapped.unionByName(both).distinct()
-    text = short.select("h", "g", "short")
+    text = first.where("short is not null").select("h", "g", F.col("short").alias("line")).unionByName(long_lines.where(F.length("line") > most + 1).select("h", "g", "line"))
     verified = (
         pairs.join(text, ["h", "g"])
-        .join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("short").alias("other")), ["h2", "g2"])
-        .where(F.levenshtein("short", "other", 1) >= 0)
+        .join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("other")), ["h2", "g2"])
+        .where(F.levenshtein("line", "other", 1) >= 0)
         .groupBy("h", "g")
         .agg(F.min("own2").alias("near"))
     )
-    bar = first.select("h", "g", "own").join(verified, ["h", "g"], "left").select("h", "g", F.least("own", "near").alias("bar"))
+    near, _ = stage(verified, "near")
+    release(spark)
+    bar = first.select("h", "g", "own").join(near, ["h", "g"], "left").select("h", "g", F.least("own", "near").alias("bar"))
     gone = keyed.select("id", "no", "h", "g").join(bar, ["h", "g"]).where(F.struct("id", "no") > F.col("bar"))
     return gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
