@@ -70,22 +70,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = hashed.where(size > most).join(place, ["id", "no", "h", "g"]).select("h", "g", "own", "line")
     long_lines, _ = stage(texts.dropDuplicates(["h", "g"]), "long")
     release(spark)
-    nothing = F.lit(0).cast("long").alias("pre")
-    state, ends = long_lines.select("h", "g", "own", nothing, F.col("line").alias("mid")), []
+    # `pre` starts as the length of the longer of two lines; only that one is cut into variants
+    lengths = F.explode(F.array(F.lit(0), F.lit(1))).alias("more")
+    sized = long_lines.select("h", "g", "own", "line", lengths)
+    state = sized.select("h", "g", "own", (F.length("line") + F.col("more")).cast("long").alias("pre"), F.col("line").alias("mid"), (F.col("more") == 0).alias("cuts"), (F.col("more") == 1).alias("whole"))
+    ends = []
     while True:
         longer = state.where(F.length("mid") > most)
         if longer.isEmpty():
             break
         options = F.array(*[F.when(when, F.struct(key.alias("key"), rest.alias("rest"))) for when, key, rest in _halves("mid", F.col("pre"))])
-        split = longer.select("h", "g", "own", F.explode(F.array_compact(options)).alias("o")).select("h", "g", "own", F.col("o.key").alias("key"), F.col("o.rest").alias("rest"))
-        state, _ = stage(_shared(split).select("h", "g", "own", F.col("key").alias("pre"), F.col("rest").alias("mid")).distinct(), "rests")
+        row = ["h", "g", "own", "cuts", "whole"]
+        split = longer.select(*row, F.explode(F.array_compact(options)).alias("o")).select(*row, F.col("o.key").alias("key"), F.col("o.rest").alias("rest"))
+        state, _ = stage(_shared(split).select("h", "g", "own", F.col("key").alias("pre"), F.col("rest").alias("mid"), "cuts", "whole"), "rests")
         ends.append(state.where(F.length("mid") <= most + 1))
 
-    brief = first.where("short is not null").select("h", "g", "own", nothing, F.col("short").alias("mid"))
+    either = F.lit(True)
+    brief = first.where("short is not null").select("h", "g", "own", F.lit(0).cast("long").alias("pre"), F.col("short").alias("mid"), either.alias("cuts"), either.alias("whole"))
     for more in ends:
         brief = brief.unionByName(more)
     places = F.sequence(F.lit(1), F.length("mid"))
-    cut = brief.where("mid <> ''").select("h", "g", "own", "pre", F.explode(places).alias("i"), "mid")
+    cut = brief.where("cuts and mid <> ''").select("h", "g", "own", "pre", F.explode(places).alias("i"), "mid")
     before, after = F.expr("substring(mid, 1, i - 1)"), F.expr("substring(mid, i + 1)")
     # substitutions: the earliest line of each key, for all lines of the key
     same = Window.partitionBy("key")
@@ -95,9 +100,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("near.own < own")
         .select("h", "g", F.col("near.own").alias("own2"), F.col("near.h").alias("h2"), F.col("near.g").alias("g2"))
     )
-    # insertions and deletions: a line's variant is another line
-    dropped = cut.select("h", "g", "own", F.xxhash64("pre", F.concat(before, after)).alias("key")).distinct()
-    whole = brief.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.xxhash64("pre", "mid").alias("key"))
+    # insertions and deletions: a line's variant is another line; of a run of one character, the last is left out
+    last = F.expr("substring(mid, i, 1) <> substring(mid, i + 1, 1)")
+    dropped = cut.where(last).select("h", "g", "own", F.xxhash64("pre", F.concat(before, after)).alias("key"))
+    whole = brief.where("whole").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.xxhash64("pre", "mid").alias("key"))
     grown = dropped.join(whole, "key").where("h <> h2 or g <> g2")
     both = grown.where("own2 < own").select("h", "g", "own2", "h2", "g2").unionByName(
         grown.where("own < own2").select(F.col("h2").alias("h"), F.col("g2").alias("g"), F.col("own").alias("own2"), F.col("h").alias("h2"), F.col("g").alias("g2"))
