@@ -98,24 +98,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cut.select("h", "g", "own", F.xxhash64("pre", before, F.col("i"), after).alias("key"))
         .withColumn("near", F.min(F.struct("own", "h", "g")).over(same))
         .where("near.own < own")
-        .select("h", "g", F.col("near.own").alias("own2"), F.col("near.h").alias("h2"), F.col("near.g").alias("g2"))
+        .select("h", "g", F.col("near.h").alias("h2"), F.col("near.g").alias("g2"))
     )
     # insertions and deletions: a line's variant is another line; of a run of one character, the last is left out
     last = F.expr("substring(mid, i, 1) <> substring(mid, i + 1, 1)")
-    dropped = cut.where(last).select("h", "g", "own", F.xxhash64("pre", F.concat(before, after)).alias("key"))
-    whole = brief.where("whole").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.xxhash64("pre", "mid").alias("key"))
-    grown = dropped.join(whole, "key").where("h <> h2 or g <> g2")
-    both = grown.where("own2 < own").select("h", "g", "own2", "h2", "g2").unionByName(
-        grown.where("own < own2").select(F.col("h2").alias("h"), F.col("g2").alias("g"), F.col("own").alias("own2"), F.col("h").alias("h2"), F.col("g").alias("g2"))
-    )
-    pairs = swapped.unionByName(both).distinct()
-    text = first.where("short is not null").select("h", "g", F.col("short").alias("line")).unionByName(long_lines.where(F.length("line") > most + 1).select("h", "g", "line"))
+    dropped = cut.where(last).select("h", "g", F.xxhash64("pre", F.concat(before, after)).alias("key"))
+    whole = brief.where("whole").select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.xxhash64("pre", "mid").alias("key"))
+    grown = dropped.join(whole, "key").where("h <> h2 or g <> g2").select("h", "g", "h2", "g2")
+    pairs = swapped.unionByName(grown).distinct()
+    short = first.where("short is not null").select("h", "g", "own", F.col("short").alias("line"))
+    text = short.unionByName(long_lines.where(F.length("line") > most + 1).select("h", "g", "own", "line"))
+    later = F.when(F.col("own2") < F.col("own"), F.struct("h", "g", F.col("own2").alias("near"))).otherwise(F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"), F.col("own").alias("near")))
     verified = (
         pairs.join(text, ["h", "g"])
-        .join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("other")), ["h2", "g2"])
+        .join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.col("line").alias("other")), ["h2", "g2"])
         .where(F.levenshtein("line", "other", 1) >= 0)
-        .groupBy("h", "g")
-        .agg(F.min("own2").alias("near"))
+        .select(later.alias("x"))
+        .groupBy("x.h", "x.g")
+        .agg(F.min("x.near").alias("near"))
     )
     near, _ = stage(verified, "near")
     release(spark)
