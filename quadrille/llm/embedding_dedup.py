@@ -53,10 +53,11 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     none whose codes differ in fewer than `tables` bits is missed.  The rotation is fitted on the
     `sample` vectors of the least id hashes; every vector is indexed.  A bucket of over `chunk` vectors is cut in
     chunks, each pair of which is one task's group, and tasks return sums and spanning links, not pairs.
-    A pair that meets in several tables is counted in the first.
+    A pair that meets in several tables is counted in the first.  Equal vectors are one vertex, named by
+    its smallest id and weighted by their number, so a group of copies of any size is a single row there.
 
     Null, zero, non-finite and null-holding vectors, vectors of another length than most and rows with a
-    null id link with nothing.  Rows of one id stand for one vertex; their links are summed."""
+    null id link with nothing.  Every row is a vector of its own, so a repeated row links with its copy."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     usual = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -72,26 +73,31 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("id")))
             which, v = _vectors(batch.column("v"), dims)
+            named = pc.is_valid(batch.column("id").take(pa.array(which))).to_numpy(zero_copy_only=False)
+            which, v = which[named], v[named]
             ones = (_unit(v) @ turn >= 0).astype(np.uint8) if len(v) else np.zeros((0, bits), np.uint8)
             code = np.packbits(np.pad(ones, ((0, 0), (0, 64 - bits))), axis=1, bitorder="little").view("<u8").ravel()
             own = np.ascontiguousarray(v.astype(kind))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which)), pa.array(code.view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "code", "v"])
+            codes, bytes_ = np.zeros(len(batch), np.int64), np.full(len(batch), None, object)
+            codes[which] = code.view(np.int64)
+            bytes_[which] = [x.tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes), pa.array(bytes_, pa.binary())], ["id", "code", "v"])
 
     coded, _ = stage(rows.mapInArrow(encode, "id long, code long, v binary"), "codes")
+    distinct, _ = stage(coded.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.min("code").alias("code"), F.count("*").alias("w")), "vectors")
     signed = [int(m) - (1 << 64) if m >= 1 << 63 else int(m) for m in masks]
     part_of = F.array(*[F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    keyed = coded.select("id", "code", "v", F.posexplode(part_of).alias("t", "key"))
+    keyed = distinct.select("id", "code", "v", "w", F.posexplode(part_of).alias("t", "key"))
     many = keyed.groupBy("t", "key").count().where("count > 1").select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("q"))
     dealt = (
         keyed.join(many, ["t", "key"])
         .withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("q")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-        .select("id", "code", "v", "t", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        .select("id", "code", "v", "w", "t", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     )
 
-    def solve(t: int, ids: np.ndarray, code: np.ndarray, v: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    def solve(t: int, ids: np.ndarray, code: np.ndarray, v: np.ndarray, w: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
         n = len(ids)
         counts, forest = np.zeros(n, np.int64), _Forest(n)
         u = _unit(v)
@@ -108,7 +114,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             for earlier in masks[:t]:
                 exact &= (differ & earlier) != 0
             a, b = a[exact], b[exact]
-            counts += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            counts += (np.bincount(a, weights=w[b], minlength=n) + np.bincount(b, weights=w[a], minlength=n)).astype(np.int64)
             forest.add(a, b)
         hit = np.flatnonzero(counts)
         x, y = (np.concatenate(z) for z in zip(*forest.kept)) if forest.kept else (hit[:0], hit[:0])
@@ -137,16 +143,19 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         got = pa.Table.from_batches(held).combine_chunks()
         v = np.frombuffer(b"".join(got.column("v").to_pylist()), kind).reshape(-1, dims)
-        return solve(got.column("t")[0].as_py(), got.column("id").to_numpy(), got.column("code").to_numpy().view(np.uint64), v, got.column("part").to_numpy())
+        return solve(got.column("t")[0].as_py(), got.column("id").to_numpy(), got.column("code").to_numpy().view(np.uint64), v, got.column("w").to_numpy(), got.column("part").to_numpy())
 
     group = ["t", "key", "low", "high"]
     found, _ = stage(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(match, "kind int, a long, b long"), "veclinks")
     links = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n_links"))
     tied = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "id")
-    return (
-        rows.select("id")
-        .join(links, "id", "left")
+    told = (
+        distinct.join(links, "id", "left")
         .join(tied, "id", "left")
+        .select("v", (F.col("w") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    )
+    return (
+        coded.join(told, "v", "left")
         .select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

@@ -399,6 +399,17 @@ def test_embeddings(spark):
     assert embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_copies_of_vectors(spark):
+    """Copies count one by one, are one vertex, and a repeated row is its own copy's partner."""
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 64))
+    a2 = a + 0.01 * rng.standard_normal(64)
+    rows = [(i, v) for i, v in enumerate([b, a2, *[a] * 50, a2])] + [(0, b)]
+    got = collect(embedding_components(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>"), chunk=20), "vec_id")
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got[0]] == [(1, 0, True)] * 2
+    assert all((got[i][0]["n_links"], got[i][0]["component_id"], got[i][0]["kept"]) == (51, 1, i == 1) for i in range(1, 53))
+
+
 # --- 10: classifier
 
 
