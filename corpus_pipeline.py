@@ -11,7 +11,7 @@ from quadrille.llm.best_fit_packing import pack_documents
 from quadrille.llm.common import stage, table
 from quadrille.llm.line_dedup import dedup_lines
 from quadrille.llm.quality_classifier import classify
-from quadrille.llm.simhash_dedup import keep_one
+from quadrille.llm.shingle_dedup import keep_similar
 from quadrille.llm.substring_dedup import dedup_substrings
 
 
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return keep_one(docs).select(docs.columns)
+    """One document of each component of pairs of similarity 0.8 or more in shingles of five words."""
+    return keep_similar(docs, width=5, similarity=0.8).select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,8 +228,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return made.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """docs without those that are not the smallest id of their component; null ids stay."""
-    found = simhash_components(docs, radius=radius)
+    found = simhash_components(docs, radius=radius, width=width)
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")

@@ -24,6 +24,7 @@ from quadrille.llm.line_dedup import dedup_lines
 from quadrille.llm.quality_classifier import classify
 from quadrille.llm.quality_rules import quality_rules
 from quadrille.llm.sentencepiece_viterbi import Pieces, decode_pieces, encode_pieces, piece_path
+from quadrille.llm.shingle_dedup import keep_similar, similar_components
 from quadrille.llm.simhash_dedup import keep_one, linked, simhash_components
 from quadrille.llm.substring_dedup import FingerprintIndex, dedup_substrings
 
@@ -367,6 +368,55 @@ def test_fingerprint_links_in_a_dense_cluster(spark, shard):
     assert got == want
 
 
+def similar_texts():
+    """Texts with copies of which 0 to 12 words are changed, a large group of near copies, and odd ones."""
+    rng = random.Random(11)
+    out: list[str | None] = []
+    for _ in range(60):
+        base = words(rng, rng.randrange(3, 200), 3000).split()
+        out.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 13)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(1000)}"
+            out.append(" ".join(copy))
+    base = words(rng, 300, 3000).split()
+    for i in range(150):  # about 0.8 from each other
+        out.append(" ".join(f"y{rng.randrange(9)}{i}" if rng.random() < 0.022 else w for w in base))
+    return [*out, None, "", " ", "a b c", "A b  c", "a b c d"]
+
+
+def shingle_set(text):
+    w = (text or "").translate(AZ).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_similar_shingles_equal_brute_force(spark, small):
+    texts = similar_texts()
+    sets = [shingle_set(t) for t in texts]
+    near = lambda a, b: 1.8 * len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-9
+    want = brute_components(range(len(texts)), near)
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    got = dict(similar_components(docs, small=small, chunk=40).collect())
+    assert got == want
+    kept = [r["doc_id"] for r in keep_similar(docs).collect()]
+    assert sorted(kept, key=str) == sorted([i for i in want if want[i] == i] + [None], key=str)
+    # what the stage lost before: 4-word SimHash at 4 bits leaves some of these
+    assert {r["doc_id"] for r in keep_one(docs).collect()} - set(kept)
+    assert similar_components(empty(spark)).count() == 0
+
+
+def test_pipeline_stage_drops_similar_documents(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = similar_texts()
+    sets = [shingle_set(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r["doc_id"] for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+    full = [i for i in kept if sets[i]]
+    assert not [(a, b) for a in full for b in full if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
 def test_components_of_long_paths(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     got = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
