@@ -29,40 +29,32 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, most: int = 64) -> DataFrame:
-    """(id, gone): the numbers, from 0, of the lines of each document that an earlier line repeats.
-
-    Lines are compared without spaces, tabs and carriage returns at their ends.  A line of `least`
-    characters or more goes if one that is equal, or one edit away, stands earlier, by (id, line
-    number), in any document.
-
-    Only `most` characters or a few more are cut into variants, one for each character left out.  Of a longer
-    line, halves that another line shares are cut off first, and halves of the rest, until that is short: an
-    edit leaves one of two halves as it is.  The hash of what was cut off goes into the variants' keys.
-
-    Variants that a substitution shares keep the place of the character left out: all lines with
-    such a key are one edit apart, so each needs the earliest of them, not pairs.  A line and one with a
-    further character meet where a variant of the second equals the first.  Keys are hashes; the
-    edit distance of what meets is verified over the whole lines."""
-    spark = docs.sparkSession
-    line = F.btrim("line", F.lit(" \t\r"))
-    lines = (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-        .select("id", "no", line.alias("line"))
-        .where(F.length("line") >= least)
-    )
-    hashed = lines.select("id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
-    size = F.length("line")
-    # lines of most + 1 characters are short as well as long: they may be an edit from either
-    keyed = hashed.select(
-        "id", "no", "h", "g", F.when(size <= most + 1, F.col("line")).alias("short"),
-        *[F.when((size > most) & when, key).alias(f"k{i}") for i, (when, key, _) in enumerate(_halves("line", F.lit(0).cast("long")))],
-    )
-    halves = [f"k{i}" for i in range(4)]
-    grouped = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("own"), *[F.first(c).alias(c) for c in ("short", *halves)])
-    first, _ = stage(grouped, "lines")
-
+def _more_edits(hashed: DataFrame, first: DataFrame, least: int, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (h, g, h2, g2) that may be `edits` edits apart, and the text of their lines.
+
+    Of edits + 1 segments of the shorter line, one stands in the longer, shifted by at most `edits`."""
+    place = first.select(F.col("own.id").alias("id"), F.col("own.no").alias("no"), "h", "g", "own")
+    text, _ = stage(hashed.where(F.length("line") >= least).join(place, ["id", "no", "h", "g"]).select("h", "g", "own", "line").dropDuplicates(["h", "g"]), "texts")
+    size, parts = F.length("line"), edits + 1
+    bounds = lambda long, i: (F.floor(long * i / parts).cast("int"), F.floor(long * (i + 1) / parts).cast("int"))
+    own, other = [], []
+    for i in range(parts):
+        start, end = bounds(size, i)
+        own.append(F.xxhash64(size, F.lit(i), F.substring("line", start + 1, end - start)))
+        for less in range(parts):
+            long = size - less
+            start, end = bounds(long, i)
+            for shift in range(-edits, parts):
+                inside = (long >= least) & (start + shift >= 0) & (end + shift <= size)
+                other.append(F.when(inside, F.xxhash64(long, F.lit(i), F.substring("line", start + shift + 1, end - start))))
+    held = text.select("h", "g", F.explode(F.array(*own)).alias("key"))
+    asked = text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.explode(F.array_distinct(F.array_compact(F.array(*other)))).alias("key"))
+    return held.join(asked, "key").where("h <> h2 or g <> g2").select("h", "g", "h2", "g2").distinct(), text
+
+
+def _one_edit(hashed: DataFrame, first: DataFrame, most: int, halves: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (h, g, h2, g2) that may be an edit apart, and the text of their lines."""
+    spark, size = hashed.sparkSession, F.length("line")
     # long lines with a half that another has, and their text
     cut = first.where("k0 is not null").select("h", "g", "own", F.explode(F.array_compact(F.array(*halves))).alias("key"))
     found, _ = stage(_shared(cut).select("h", "g", "own").distinct(), "halves")
@@ -108,11 +100,50 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = swapped.unionByName(grown).distinct()
     short = first.where("short is not null").select("h", "g", "own", F.col("short").alias("line"))
     text = short.unionByName(long_lines.where(F.length("line") > most + 1).select("h", "g", "own", "line"))
+    return pairs, text
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, most: int = 64, edits: int = 1) -> DataFrame:
+    """(id, gone): the numbers, from 0, of the lines of each document that an earlier line repeats.
+
+    Lines are compared without spaces, tabs and carriage returns at their ends.  A line that is not blank
+    goes if an equal one stands earlier, by (id, line number), in any document; one of `least` characters
+    or more also if one of that length at most `edits` edits away does.  What follows is for one edit; for
+    more, see `_more_edits`.
+
+    Only `most` characters or a few more are cut into variants, one for each character left out.  Of a longer
+    line, halves that another line shares are cut off first, and halves of the rest, until that is short: an
+    edit leaves one of two halves as it is.  The hash of what was cut off goes into the variants' keys.
+
+    Variants that a substitution shares keep the place of the character left out: all lines with
+    such a key are one edit apart, so each needs the earliest of them, not pairs.  A line and one with a
+    further character meet where a variant of the second equals the first.  Keys are hashes; the
+    edit distance of what meets is verified over the whole lines."""
+    spark = docs.sparkSession
+    line = F.btrim("line", F.lit(" \t\r"))
+    lines = (
+        docs.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+        .select("id", "no", line.alias("line"))
+        .where("line <> ''")
+    )
+    hashed = lines.select("id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
+    size = F.length("line")
+    # lines of most + 1 characters are short as well as long: they may be an edit from either
+    keyed = hashed.select(
+        "id", "no", "h", "g", F.when((size >= least) & (size <= most + 1), F.col("line")).alias("short"),
+        *[F.when((size > most) & when, key).alias(f"k{i}") for i, (when, key, _) in enumerate(_halves("line", F.lit(0).cast("long")))],
+    )
+    halves = [f"k{i}" for i in range(4)]
+    grouped = keyed.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("own"), *[F.first(c).alias(c) for c in ("short", *halves)])
+    first, _ = stage(grouped, "lines")
+
+    pairs, text = _one_edit(hashed, first, most, halves) if edits == 1 else _more_edits(hashed, first, least, edits)
     later = F.when(F.col("own2") < F.col("own"), F.struct("h", "g", F.col("own2").alias("near"))).otherwise(F.struct(F.col("h2").alias("h"), F.col("g2").alias("g"), F.col("own").alias("near")))
     verified = (
         pairs.join(text, ["h", "g"])
         .join(text.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("own").alias("own2"), F.col("line").alias("other")), ["h2", "g2"])
-        .where(F.levenshtein("line", "other", 1) >= 0)
+        .where(F.levenshtein("line", "other", edits) >= 0)
         .select(later.alias("x"))
         .groupBy("x.h", "x.g")
         .agg(F.min("x.near").alias("near"))
@@ -127,7 +158,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the lines that an earlier line repeats, and n_lines and n_removed beside them.
 
-    Null text: no lines, stays null.  Blank and short lines stay.  A row with a null id is compared with
+    Null text: no lines, stays null.  Blank lines stay.  A row with a null id is compared with
     nothing.  Rows of one id are one document, whose lines of one number are not compared."""
     lines = "_lines"
     found = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("id", "_id")

@@ -149,6 +149,38 @@ def test_line_dedup_finds_an_edit_in_lines_of_any_length(spark, alphabet):
     assert {k: got[k][0]["text"] for k in want} == {k: "\n".join(v) for k, v in want.items()}
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(0, "Les.\nabc\n\nLes,"), (1, " Les. \n\nabcd\nabc\r"), (2, "Les.")]
+    got = collect(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i][0]["text"] for i in range(3)] == ["Les.\nabc\n\nLes,", "\nabcd", ""]
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_with_more_edits(spark, edits):
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, lines = random.Random(edits), []
+    for n in (16, 17, 40, 64, 65, 150, 300):
+        base = "".join(rng.choice("abcdé日") for _ in range(n))
+        for k in range(10):
+            x = base
+            for _ in range(k // 2):
+                at, kind = rng.randrange(len(x)), rng.randrange(3)
+                x = x[:at] + ("z" if kind else "") + x[at + (kind != 1) :]
+            lines.append(x)
+    rng.shuffle(lines)
+    want = {k: 0 if any(e == x or (min(len(e), len(x)) >= 16 and apart(e, x) <= edits) for e in lines[:k]) else 1 for k, x in enumerate(lines)}
+    assert 10 < sum(want.values()) < len(lines) - 10
+    got = collect(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), edits=edits))
+    assert {k: 1 - got[k][0]["n_removed"] for k in want} == want
+
+
 # --- 3: quality rules
 
 
