@@ -2,96 +2,136 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import math
 
-from .common import LOWER, UPPER
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-#: Characters that stand in no word.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The words of a text whose letters A to Z are still in either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases that must stand word for word.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Notices, of which `coverage` must stand, on neighbouring diagonals.
+#: Notices on neighbouring diagonals: the words, and runs of them that must stand whole (name and version).
 NOTICES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
-    "cc-by-4.0": ["licensed under cc by 4 0", "creative commons attribution 4 0 international"],
-    "gpl-3.0": ["licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-}
+    "apache-2.0": [
+        ("licensed under the apache license version 2 0", ["apache license", "2 0"]),
+        ("you may not use this file except in compliance with the license", []),
+    ],
+    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted", [])],
+    "cc-by-nc-4.0": [
+        ("licensed under cc by nc 4 0", ["cc by nc 4 0"]),
+        ("creative commons attribution noncommercial 4 0 international", ["attribution noncommercial", "4 0"]),
+    ],
+    "cc-by-4.0": [
+        ("licensed under cc by 4 0", ["cc by 4 0"]),
+        ("creative commons attribution 4 0 international", ["attribution 4 0"]),
+    ],
+    "gpl-3.0": [
+        ("licensed under the gnu general public license version 3", ["public license", "version 3"]),
+        ("this program is free software you can redistribute it and or modify it", []),
+    ],
+    "mit": [
+        ("released under the mit license", ["mit license"]),
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software", []),
+    ],
+    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license", "2 0"])],
+}
+
+Notices = dict[str, list[tuple[str, list[str]]]]
+
+
+def lowered(word: Column) -> Column:
+    """A word with A to Z in lower case: lower() of a word of ASCII; others equal no template's word in either case."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(word)
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, A to Z in lower case; a null text has none."""
-    text = F.coalesce(text, F.lit(""))
-    plain = F.length(text) == F.octet_length(text)  # ASCII: lower() changes A to Z alone
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), F.lit(WORD), 0)
+    """The words of a text as they stand; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
 
-def _templates(phrases: dict[str, str], notices: dict[str, list[str]], k: int) -> list[tuple]:
-    rows, number = [("", -1, 0, 0, "", 1, False)], 0
-    for label, text, exact in [*((a, b, True) for a, b in phrases.items()), *((a, t, False) for a, b in notices.items() for t in b)]:
+def _templates(phrases: dict[str, str], notices: Notices, k: int, coverage: float) -> tuple[list[tuple], list[tuple]]:
+    """Places (gram, template, at, bit) and templates (template, label, parts, least, key, exact): `least` grams must
+    be found, and all in the mask `key`."""
+    places, kinds = [], []
+    for label, text, keys, exact in [*((a, b, [], True) for a, b in phrases.items()), *((a, t, x, False) for a, b in notices.items() for t, x in b)]:
         words = text.split(" ")
-        n = len(words) - k + 1
-        if not 1 <= n <= 63:
+        grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+        if not 1 <= len(grams) <= 63:
             raise ValueError(f"a template has {k} to {62 + k} words: {text}")
-        rows += [(" ".join(words[i : i + k]), number, i, 1 << i, label, n, exact) for i in range(n)]
-        number += 1
-    return rows
+        mask = 0
+        for x in keys:
+            own = x.split(" ")
+            at = next(i for i in range(len(words)) if words[i : i + len(own)] == own)
+            for i in range(at, at + len(own) - k + 1):
+                mask |= 1 << i
+        # a word more costs k - 1 grams, a word changed or left out k
+        least = len(grams) if exact else min(len(grams) - k, math.ceil(coverage * len(grams)))
+        places += [(gram, len(kinds), i, 1 << i) for i, gram in enumerate(grams)]
+        kinds.append((len(kinds), label, len(grams), max(1, least), mask, exact))
+    return places, kinds
+
+
+def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A local table of so many rows as are written here."""
+    literal = lambda x: "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}L" if x.bit_length() > 31 else str(x)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({names})")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, list[str]] = NOTICES, k: int = 2, slack: int = 2, coverage: float = 0.85) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: Notices = NOTICES, k: int = 2, slack: int = 2, coverage: float = 0.85) -> DataFrame:
     """One row for each row of docs: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     Every run of k words of every text is hashed and joined to the places of the templates (a broadcast table of
-    a fixed number of rows).  A hit votes for its diagonal, place in text less place in template; votes of
-    diagonals at most `slack` apart are merged, so a word more or less breaks no span.  A span is
-    verified by the runs themselves, which the join compares too, by its coverage of the template, and for a phrase
-    by all of it on one diagonal.  score: the best coverage of a verified span, else 0.
+    a fixed number of rows); of runs that meet, the words are compared.  A hit votes for its diagonal, place in
+    text less place in template; votes of diagonals at most `slack` apart are merged, so a word more or less breaks
+    no span.  A span of a notice is verified by its runs: name and version whole, and of the others as many
+    as one word changed, left out or put in leaves, or `coverage` of them if that is fewer; a phrase by all of
+    it on one diagonal.  score: the best share of a verified span's runs, else 0.
 
-    Null or empty text: no words and no labels.  Equal rows are scanned as one and returned as often as
-    they stand; other columns are not read."""
+    Null or empty text: no words and no labels; so too of an empty table, no rows.  A text of any length is one row's
+    array of words.  Equal rows are scanned as one and returned as often as they stand; other
+    columns are not read, so their names do not matter; an id of any type, or null, stays as it is."""
     spark = docs.sparkSession
-    rows = _templates(phrases, notices, k)
-    spots = spark.createDataFrame(rows, "gram string, template int, at int, bit long, label string, parts int, exact boolean").withColumn("h", F.xxhash64("gram"))
-    listed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("w"))
-    size = F.size("w")
-    grams = F.col("w")
+    places, kinds = _templates(phrases, notices, k, coverage)
+    # a run with the number 0 marks a document, so that one without hits stays
+    spots = _values(spark, [*places, ("", -1, 0, 0)], "_gram, _template, _at, _bit")
+    rolling = F.xxhash64(F.get(F.split("_gram", " "), F.lit(0)))
     for i in range(1, k):
-        grams = F.zip_with(grams, F.slice("w", F.lit(i + 1), F.greatest(size - i, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    # the first entry marks the document, so that one without hits stays
-    marked = listed.select("doc_id", "th", size.cast("long").alias("n"), F.concat(F.array(F.lit("")), F.coalesce(F.slice(grams, F.lit(1), F.greatest(size - (k - 1), F.lit(0))), F.array())).alias("g"))
-    rolled = marked.select("doc_id", "th", "n", F.posexplode("g").alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(spots), ["h", "gram"])
-    key = ["doc_id", "th"]
-    votes = hits.groupBy(*key, "template", (F.col("pos") - 1 - F.col("at")).alias("diagonal")).agg(
-        F.bit_or("bit").alias("seen"),
-        F.first("label").alias("label"), F.first("parts").alias("parts"), F.first("exact").alias("exact"), F.max("n").alias("n"), F.count("*").alias("copies"),
-    )
-    by_place = Window.partitionBy(*key, "template").orderBy("diagonal")
-    far = F.col("diagonal") - F.lag("diagonal").over(by_place)
-    new = F.when(F.col("exact") | far.isNull() | (far > slack), 1).otherwise(0)
-    spans = votes.withColumn("new", new).withColumn("span", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy(*key, "template", "span").agg(
-        F.bit_count(F.bit_or("seen")).alias("found"), F.min("diagonal").alias("begin"),
-        F.first("label").alias("label"), F.first("parts").alias("parts"), F.first("exact").alias("exact"), F.max("n").alias("n"), F.max("copies").alias("copies"),
-    )
-    share = F.col("found") / F.col("parts")
-    base = F.col("exact") & (F.col("found") == F.col("parts"))
-    good = (F.col("template") >= 0) & F.when(F.col("exact"), base).otherwise(share >= coverage)
-    names = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
-    scanned = merged.groupBy(*key).agg(
-        F.max("n").alias("n_words"),
+        rolling = F.xxhash64(rolling, F.xxhash64(F.get(F.split("_gram", " "), F.lit(i))))
+    spots = spots.withColumn("_h", F.when(F.col("_template") < 0, F.lit(0).cast("long")).otherwise(rolling))
+    kind = _values(spark, kinds, "_template, _label, _parts, _least, _key, _exact")
+    listed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), words_of(F.col(text_col)).alias("_w"))
+    hashed = listed.select("doc_id", "_th", "_w", F.transform("_w", lambda x: F.xxhash64(lowered(x))).alias("_g"))
+    grams, size = F.col("_g"), F.size("_g")
+    for i in range(1, k):  # the hash of a run goes on from that of its first words; what runs over the end meets nothing
+        grams = F.zip_with(grams, F.slice("_g", F.lit(i + 1), F.greatest(size - i, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    # outer: no test of the size is inferred and pushed below the projection, where it would make all words again
+    rolled = hashed.select("doc_id", "_th", "_w", F.posexplode_outer(F.concat(F.array(F.lit(0).cast("long")), grams)).alias("_pos", "_h"))
+    met = rolled.join(F.broadcast(spots), "_h")
+    same = F.array_join(F.transform(F.slice("_w", F.greatest("_pos", F.lit(1)), F.lit(k)), lowered), " ") == F.col("_gram")
+    hits = met.where(F.when(F.col("_template") < 0, F.col("_pos") == 0).otherwise((F.col("_pos") > 0) & same))
+    key = ["doc_id", "_th"]
+    n = F.when(F.col("_template") < 0, F.size("_w")).cast("long")
+    votes = hits.groupBy(*key, "_template", (F.col("_pos") - 1 - F.col("_at")).alias("_diagonal")).agg(F.bit_or("_bit").alias("_seen"), F.max(n).alias("_n"), F.count("*").alias("_copies"))
+    by_place = Window.partitionBy(*key, "_template").orderBy("_diagonal")
+    told = votes.join(F.broadcast(kind), "_template", "left")
+    far = F.col("_diagonal") - F.lag("_diagonal").over(by_place)
+    spans = told.withColumn("_new", F.when(F.col("_exact") | far.isNull() | (far > slack), 1).otherwise(0)).withColumn("_span", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy(*key, "_template", "_span").agg(F.bit_or("_seen").alias("_seen"), F.min("_diagonal").alias("_begin"), F.max("_n").alias("_n"), F.max("_copies").alias("_copies"))
+    judged = merged.join(F.broadcast(kind), "_template", "left").withColumn("_found", F.bit_count("_seen"))
+    good = F.coalesce((F.col("_found") >= F.col("_least")) & (F.col("_seen").bitwiseAND(F.col("_key")) == F.col("_key")), F.lit(False))
+    base = good & F.col("_exact")
+    names = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("_label")))), ",")
+    scanned = judged.groupBy(*key).agg(
+        F.max("_n").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("begin"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("begin"))).cast("long").alias("last_word"),
+        F.min(F.when(base, F.col("_begin"))).cast("long").alias("first_word"),
+        F.max(F.when(base, F.col("_begin"))).cast("long").alias("last_word"),
         names(base).alias("base_labels"),
         names(good).alias("labels"),
-        F.coalesce(F.max(F.when(good, share)), F.lit(0.0)).alias("score"),
-        F.max(F.when(F.col("template") < 0, F.col("copies"))).cast("int").alias("copies"),
+        F.coalesce(F.max(F.when(good, F.col("_found") / F.col("_parts"))), F.lit(0.0)).alias("score"),
+        F.max(F.when(F.col("_template") < 0, F.col("_copies"))).cast("int").alias("_copies"),
     )
-    return scanned.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("th", "copies", "copy")
+    return scanned.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).drop("_th", "_copies", "_copy")

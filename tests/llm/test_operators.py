@@ -91,14 +91,31 @@ def test_license_scan(spark, docs, texts):
     assert scan_licenses(empty(spark)).count() == 0
 
 
-def test_license_notices_with_a_word_more(spark):
-    rows = [(k, "word " * k + text.replace(" ", " , ", 3) + " tail", None, None, None, None, None, None) for k, (_, text) in enumerate((a, t) for a, ts in NOTICES.items() for t in ts)]
-    want = [a for a, ts in NOTICES.items() for _ in ts]
-    words_ = rows[2][1].split()
-    rows.append((99, " ".join([*words_[:9], "now", *words_[9:]]), None, None, None, None, None, None))
-    got = collect(scan_licenses(spark.createDataFrame(rows, DOCS)))
-    assert all(label in got[k][0]["labels"].split(",") for k, label in enumerate(want))
-    assert want[2] in got[99][0]["labels"].split(",")
+def test_license_notices_with_a_word_more_less_or_changed(spark):
+    """In every notice, at every place outside the words that name the licence and its version."""
+    texts, want = [], []
+    for label, notices in NOTICES.items():
+        for text, keys in notices:
+            w = text.split()
+            named = {i + j for x in keys for i in range(len(w)) if w[i : i + len(x.split())] == x.split() for j in range(len(x.split()))}
+            inside = {i for i in named if i - 1 in named}  # a word before these would part a name
+            made = [w, ["so", "Much"] + [x.upper() + "," for x in w] + ["tail"]]
+            for i in range(len(w)):
+                made += [w[:i] + ["now"] + w[i:]] * (i not in inside)
+                made += [w[:i] + ["now"] + w[i + 1 :], w[:i] + w[i + 1 :]] * (i not in named)
+            texts += [" ".join(x) for x in made]
+            want += [label] * len(made)
+    other = ["licensed under cc by 3 0", "the apache license version 1 1", "released under the license", "redistribution of heat and use of wood in all forms", "creative commons attribution 3 0 international"]
+    got = collect(scan_licenses(spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in enumerate(texts + other)], DOCS)))
+    assert [(t, x) for i, (t, x) in enumerate(zip(texts, want)) if x not in got[i][0]["labels"].split(",")] == []
+    assert {x for i in range(len(other)) for x in got[len(texts) + i][0]["labels"].split(",")} <= {"", "cc-by"}
+    # the version that forbids trade is not the one that allows it
+    assert all("cc-by-4.0" not in got[i][0]["labels"].split(",") for i, x in enumerate(want) if x == "cc-by-nc-4.0")
+
+
+def test_license_runs_of_three_words(spark, docs):
+    two, three = (collect(scan_licenses(docs, phrases={"reserved": "all rights reserved"}, notices={}, k=k)) for k in (2, 3))
+    assert {i: sorted(map(tuple, r)) for i, r in two.items()} == {i: sorted(map(tuple, r)) for i, r in three.items()}
 
 
 # --- 2: line dedup
