@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, mix, span_hashes, stage, word_spans
+from .common import by_bytes, flat, mix, partitions, span_hashes, stage, word_spans
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -67,73 +67,118 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def _grams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each word and each pair of neighbouring words, where digits are one digit and a
-    word of letters is its last three letters' shape: endings and marks tell prose from junk."""
+    """(row, bucket) of each word, A to Z in lower case, and of each pair of neighbouring words of a text."""
     data, at = flat(column)
     start, end, row = word_spans(data, at)
     if not len(start):
         return row, np.zeros(0, np.int64)
-    folded = _FOLD[data]
-    cut = np.maximum(start, end - 3)
-    tail = span_hashes(folded, cut, end)
-    head = folded[start].astype(np.uint64)
-    unit = mix(tail + head * np.uint64(0x9E3779B97F4A7C15))
+    word = span_hashes(_LOWER[data], start, end)
     same = row[1:] == row[:-1]
-    pair = mix(unit[:-1] * np.uint64(3) + mix(unit[1:]))[same]
+    pair = mix(word[:-1] * np.uint64(3) + mix(word[1:]))[same]
     shift = np.uint64(64 - bits)
-    return np.r_[row, row[:-1][same]], np.r_[unit >> shift, pair >> shift].astype(np.int64)
+    return np.r_[row, row[:-1][same]], np.r_[word >> shift, pair >> shift].astype(np.int64)
+
 
+#: The n-grams of all texts, and of trusted ones in either fold; buckets in a row that is shuffled.
+_RAW, _GOOD, _BLOCK = 0, (1, 2), 1024
 
-#: Lower-case letters one class, capitals another, digits a third, bytes of other letters a fourth.
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[97:123], _FOLD[65:91], _FOLD[48:58], _FOLD[128:] = 97, 65, 48, 128
 
+def _fold(text: pa.Array) -> np.ndarray:
+    """0 or 1 for each row, by a hash of its text: copies are in one fold, so none is told from itself."""
+    data, at = flat(text)
+    return (span_hashes(data, at[:-1], at[1:]) >> np.uint64(63)).astype(np.int64) if len(data) else np.zeros(len(text), np.int64)
 
-def ngram_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
-    """How often each bucket of hashed n-grams occurs in all texts; 2**bits numbers reach the driver."""
-    block = 1 << min(bits, 10)
+
+def ngram_counts(marked: DataFrame, bits: int) -> np.ndarray:
+    """marked: (t, quality).  How often each bucket of hashed n-grams occurs in all texts, and in those of quality 1 in
+    either fold: three rows of 2**bits numbers, which reach the driver as blocks."""
+    block = min(1 << bits, _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros((3, 1 << bits), np.int64)
         for batch in batches:
             for part in by_bytes(batch, "t"):
-                total += np.bincount(_grams(part.column("t"), bits)[1], minlength=1 << bits)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["bucket", "n"])
-
-    made = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # a block of buckets a row, so that few rows reach the driver
-    out = np.zeros(1 << bits, np.int64)
-    for r in made.groupBy((F.col("bucket") / block).cast("int").alias("b")).agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
-        out[r["at"]] = r["n"]
+                row, bucket = _grams(part.column("t"), bits)
+                good = part.column("quality").fill_null(0).to_numpy(zero_copy_only=False)[row] == 1
+                kind = 1 + _fold(part.column("t"))[row[good]]
+                total[_RAW] += np.bincount(bucket, minlength=1 << bits)
+                total += np.bincount((kind << bits) | bucket[good], minlength=3 << bits).reshape(total.shape)
+        yield from _blocks(total.reshape(-1, block))
+
+    def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].astype("<i8").tobytes() for i in some], pa.binary())], ["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(((3 << bits) // block, block), np.int64)
+        for batch in batches:
+            for i, n in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist()):
+                total[i] += np.frombuffer(n, "<i8")
+        yield from _blocks(total)
+
+    form = "block int, n binary"
+    made = marked.mapInArrow(run, form).repartition(partitions(marked.sparkSession), "block").mapInArrow(add, form)
+    out = np.zeros((3, 1 << bits), np.int64)
+    for r in made.toLocalIterator():
+        out.reshape(-1, block)[r["block"]] += np.frombuffer(r["n"], "<i8")
     return out
 
 
+def log_ratios(counts: np.ndarray, smooth: float) -> np.ndarray:
+    """For each fold log(p_trusted / p_raw) of each bucket, with the trusted texts of the other fold; p_trusted is
+    mixed with `smooth` parts of p_raw, so a bucket that trusted texts lack has a finite ratio."""
+    raw = (counts[_RAW] + 0.5) / (counts[_RAW].sum() + 0.5 * counts.shape[1])
+    out = np.zeros((2, counts.shape[1]))
+    for fold in (0, 1):
+        good = counts[_GOOD[1 - fold]] if counts[_GOOD[1 - fold]].any() else counts[_GOOD[fold]]
+        if good.any():
+            out[fold] = np.log((good / good.sum() + smooth * raw) / (1 + smooth)) - np.log(raw)
+    return np.clip(out, _LOW, _HIGH)
+
+
 def _score(column: pa.Array, ratio: np.ndarray, bits: int) -> np.ndarray:
     row, bucket = _grams(column, bits)
     n = np.bincount(row, minlength=len(column))
-    return np.bincount(row, weights=ratio[bucket], minlength=len(column)) / np.maximum(n, 1)
+    return np.bincount(row, weights=ratio[_fold(column)[row], bucket], minlength=len(column)) / np.maximum(n, 1)
+
+
+def threshold(hist: np.ndarray, most_lost: float) -> float:
+    """hist: labelled rows by step of score, of quality 0 and of quality 1.  The cut under which most of the first
+    and at most `most_lost` of the second lie; of equally good ones that in the middle.  Without either: none."""
+    if not hist.sum(axis=1).all():
+        return _LOW
+    bad, lost = (np.cumsum(h) / h.sum() for h in hist)
+    gain = np.where(lost <= most_lost, bad - lost, -1.0)
+    if gain.max() <= 0:
+        return _LOW
+    best = np.flatnonzero(gain == gain.max())
+    return _LOW + (int(best[len(best) // 2]) + 1) * (_HIGH - _LOW) / _STEPS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 14, most_lost: float = 0.002) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, most_lost: float = 0.002, smooth: float = 0.1) -> DataFrame:
     """One row for each row of docs: the counts, base_failed, the score, and kept.
 
-    score: the mean over a text's hashed n-grams of log(p_trusted / p_raw).  The raw corpus is all docs,
-    trusted are those labelled quality 1; both counts cover every document, and so does the
-    histogram of scores, from which the threshold follows: the cut that best tells trusted documents from
-    those labelled quality 0, but at most `most_lost` of the trusted ones fall under it.
+    score: the mean over a text's hashed n-grams (words and pairs of words) of log(p_trusted / p_raw).  The raw corpus
+    is all docs, trusted are those labelled quality 1.  Texts are in two folds by their hash; a text is scored
+    with the trusted texts of the other fold, so one that is trusted has no better score for being so.  Counts
+    cover every document, and so does the histogram of scores of all labelled ones, from which the threshold follows.
 
-    Null or empty text: no words, so base_failed.  Without trusted labels nothing but the base rules
-    rejects.  Repeated ids in labels count once, the lowest quality; repeated rows are judged each."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    The labels are joined by a sorted merge at any size: they grow with the documents, so neither is broadcast.
+    Each text is read twice, once with its label and once for its score.
+
+    Null or empty text: no words, so base_failed.  A very long text is a slice of its own.  Without trusted labels nothing
+    but the base rules rejects.  Repeated ids in labels count once, the lowest quality; repeated rows are judged
+    each, alike; a null id has no label.  A score equal to the threshold is kept.  An empty table gives no rows;
+    other columns are not read, so their names do not matter."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    trusted = texts.join(marks.where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    raw, good = ngram_counts(texts, "t", bits).astype(float), ngram_counts(trusted, "t", bits).astype(float)
-    prior = 0.5
-    ratio = np.log((good + prior) / (good.sum() + prior * len(good))) - np.log((raw + prior) / (raw.sum() + prior * len(raw)))
-    ratio = np.clip(ratio if good.any() else np.zeros(len(raw)), _LOW, _HIGH)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    marked = texts.join(marks.hint("merge"), "id", "left").select("t", "quality")
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(ngram_counts(marked, bits), smooth))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +189,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     kind = dict(texts.dtypes)["id"]
     scored, _ = stage(texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} long" for k in names) + ", score double"), "scores")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     step = F.greatest(F.lit(0), F.least(F.lit(_STEPS - 1), F.floor((F.col("score") - _LOW) / (_HIGH - _LOW) * _STEPS))).cast("int")
-    told = scored.join(marks.withColumnRenamed("doc_id", "id"), "id").groupBy(step.alias("step"), "quality").count().collect()
+    told = scored.where(~failed).join(marks.hint("merge"), "id").groupBy(step.alias("step"), "quality").count().collect()  # two rows a step at most
     hist = np.zeros((2, _STEPS))
     for r in told:
         hist[int(r["quality"] == 1), r["step"]] += r["count"]
-    cut = _LOW
-    if hist.sum(axis=1).all():
-        bad, lost = (np.cumsum(h) / h.sum() for h in hist)
-        allowed = np.flatnonzero(lost <= most_lost)
-        if len(allowed):
-            best = allowed[np.argmax((bad - lost)[allowed])]
-            cut = _LOW + (best + 1) * (_HIGH - _LOW) / _STEPS if bad[best] > 0 else _LOW
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select(
-        F.col("id").alias("doc_id"), *names, failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(float(cut)))).alias("kept"), "score", F.lit(float(cut)).alias("threshold")
-    )
+    cut = F.lit(threshold(hist, most_lost))
+    return scored.select(F.col("id").alias("doc_id"), *names, failed.alias("base_failed"), (~failed & (F.col("score") >= cut)).alias("kept"), "score", cut.alias("threshold"))
