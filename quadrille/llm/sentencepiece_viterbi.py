@@ -16,13 +16,19 @@ from .common import by_bytes, worker_cache
 SPACE = "▁"
 #: What a literal SPACE becomes while a text is encoded: half of a surrogate pair, which no text holds; it goes by bytes.
 _LITERAL = "\ud800"
-_REMEMBERED = 300_000
+#: Chunks and pairs of pieces that a worker remembers, and the characters of the longest such chunk.
+_REMEMBERED, _LONG = 300_000, 64
 
 
 class Pieces:
-    """The vocabulary of a model file.  A text is a SPACE, then itself with SPACE for each blank; of all its
-    divisions into pieces the one of the greatest total score is taken.  A character that no piece holds goes
-    as the pieces of its UTF-8 bytes, under the least score less 10."""
+    """The vocabulary of a model file, and its division of texts: the ids of the model's own library.
+
+    A text is a SPACE, then itself with SPACE for each blank.  The model merges neighbours, those of the best
+    score first.  So a piece can follow another only if the two, written as one, are merged to just these two;
+    of all divisions in which each neighbours do so, there is one.  The search relaxes a position from
+    the pieces that end there (the output links of the automaton): each scores 0 if it may follow the last
+    piece of the best division before it, else minus infinity.  A character that no piece holds goes as the
+    pieces of its UTF-8 bytes."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -32,7 +38,9 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         self.bytes: dict[int, int] = {}
         self.text: list[bytes] = []
-        scores, alphabet, crossing = [], set(), False
+        self.score: dict[str, float] = {}
+        self.fits: dict[tuple[str, int], bool] = {}
+        alphabet, crossing = set(), False
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             self.text.append(b"")
@@ -40,49 +48,66 @@ class Pieces:
                 self.bytes[int(piece[3:5], 16)] = i
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.automaton.add_word(piece, (i, len(piece), model.get_score(i)))
+                self.automaton.add_word(piece, (i, len(piece)))
                 self.text[i] = piece.replace(SPACE, " ").encode()
-                scores.append(model.get_score(i))
+                self.score[piece] = model.get_score(i)
                 alphabet.update(piece)
                 crossing |= re.search(f"[^{SPACE}]{SPACE}", piece) is not None
         self.automaton.make_automaton()
-        self.unknown = min(scores) - 10
         # where no piece can go on, the search is cut: before a run of SPACE, and around a line's end
         lone = "" if "\n" in alphabet else "\n"
         self.chunks = None if crossing else re.compile(f"{lone or '(?!)'}|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+")
         self.known: dict[str, bytes] = {}
 
+    def merged(self, text: str) -> list[str]:
+        """What merging makes of a short text: the best score first, of equal ones the left one."""
+        parts, score = list(text), self.score
+        while True:
+            made = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score]
+            if not made:
+                return parts
+            i = min(made)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def _fit(self, both: str, long: int) -> bool:
+        """Whether the last `long` characters are a piece that may follow the others (or begin a text)."""
+        if len(self.fits) > _REMEMBERED:
+            self.fits.clear()
+        first = both[: len(both) - long]
+        ok = self.fits[both, long] = self.merged(both) == ([first] if first else []) + [both[len(first) :]]
+        return ok
+
     def search(self, chunk: str) -> list[int]:
-        """The ids of the best division; of equal ones, that with the longer last piece."""
-        n = len(chunk)
-        best, back = [0.0] + [-1e300] * n, [(-1, 0)] * (n + 1)
-        done = 0  # best is final up to here
-        for end, (piece, long, score) in self.automaton.iter(chunk):
+        """The ids of the division of a chunk, in one pass."""
+        n, fits = len(chunk), self.fits
+        piece_at, long_at = [-1] * (n + 1), [0] * (n + 1)  # the last piece of the division up to a place
+        for end, (piece, long) in self.automaton.iter(chunk):
             end += 1
-            while done < end - 1:  # a character that no match ends at
-                done += 1
-                if best[done - 1] + self.unknown > best[done]:
-                    best[done], back[done] = best[done - 1] + self.unknown, (-1, 1)
-            got = best[end - long] + score
-            if got > best[end] or (got == best[end] and long > back[end][1]):
-                best[end], back[end] = got, (piece, long)
-        while done < n:
-            done += 1
-            if best[done - 1] + self.unknown > best[done]:
-                best[done], back[done] = best[done - 1] + self.unknown, (-1, 1)
+            if long_at[end]:
+                continue
+            start = end - long
+            key = chunk[start - (long_at[start] or 1 if start else 0) : end], long
+            ok = fits.get(key)
+            if ok is None:
+                ok = self._fit(*key)
+            if ok:
+                piece_at[end], long_at[end] = piece, long
         out: list[int] = []
         while n:
-            piece, long = back[n]
+            piece = piece_at[n]
             if piece < 0:
                 c = chunk[n - 1]
                 out += [self.bytes[b] for b in reversed((SPACE if c == _LITERAL else c).encode())]
+                n -= 1
             else:
                 out.append(piece)
-            n -= long
+                n -= long_at[n]
         return out[::-1]
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = self.known[chunk] = array("I", self.search(chunk)).tobytes()
+        ids = array("I", self.search(chunk)).tobytes()
+        if len(chunk) <= _LONG:  # a chunk as long as a text would fill the memory of the worker
+            self.known[chunk] = ids
         return ids
 
     def encode(self, text: str) -> array:
@@ -118,7 +143,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of docs: (doc_id, n_pieces, ids_crc32, round_trip) and, with ids, the ids.
 
     round_trip: whether decoding gives the text back.  Null or empty text: no ids.  Repeated rows and null ids
-    are rows like others; other columns are not read."""
+    are rows like others; an empty table gives none; other columns are not read, so their names do not matter.  No two
+    divisions tie: just one has neighbours that all fit.  A very long text is one pass, whose tables grow with it."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
