@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -75,23 +76,34 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_quadrille", {}).setdefault(name, {})
 
 
+def trim() -> None:
+    """Give memory that a task no longer holds back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --- words of a whole column ------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bytes of text whose prefix sums are held at a time.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    got = worker_cache("hash")
+def _tables(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of bytes, and the powers of an odd base and of its inverse; `which` chooses among independent ones."""
+    got = worker_cache(f"hash{which}")
     if not got:
-        rng = np.random.default_rng(20240607)
-        inverse = pow(_BASE, -1, 1 << 64)
+        rng = np.random.default_rng(20240607 + which)
+        base = _BASE if not which else int(rng.integers(1, 1 << 63, dtype=np.uint64)) * 2 + 1
+        inverse = pow(base, -1, 1 << 64)
         ones = np.ones(_PIECE + 1, np.uint64)
         up, down = ones.copy(), ones.copy()
-        up[1:], down[1:] = np.uint64(_BASE), np.uint64(inverse)
+        up[1:], down[1:] = np.uint64(base), np.uint64(inverse)
         got.update(byte=rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), up=np.cumprod(up, dtype=np.uint64), down=np.cumprod(down, dtype=np.uint64))
     return got["byte"], got["up"], got["down"]
 
@@ -134,9 +146,9 @@ def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -
     return start, np.flatnonzero(ends) + 1, np.searchsorted(at, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order and do not overlap."""
-    byte, up, down = _tables()
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order and do not overlap.  `which`: of several hashes."""
+    byte, up, down = _tables(which)
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
