@@ -63,42 +63,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
 
-class BKTree:
-    """A BK-tree over distinct 64-bit numbers, filled and searched by whole arrays.
-
-    The children of a node are keyed by their Hamming distance to it, so all below the edge k lie
-    at distance k; a search with radius r at distance d from the node follows the edges d-r to d+r."""
-
-    LEAF = 24
-
-    def __init__(self, values: np.ndarray, members: np.ndarray | None = None):
-        members = np.arange(len(values)) if members is None else members
-        self.values, self.leaf, self.children = values, members, {}
-        self.root = None
-        if len(members) > self.LEAF:
-            self.root, self.leaf = members[0], None
-            far = np.bitwise_count(values[members[1:]] ^ values[self.root])
-            order = np.argsort(far, kind="stable")
-            keys, cut = np.unique(far[order], return_index=True)
-            for key, group in zip(keys.tolist(), np.split(members[1:][order], cut[1:])):
-                self.children[key] = BKTree(values, group)
-
-    def pairs(self, probes: np.ndarray, which: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays of (place in probes, place in values) at most radius apart."""
-        if not len(which):
-            return
-        if self.leaf is not None:
-            for k in self.leaf.tolist():
-                near = which[np.bitwise_count(probes[which] ^ self.values[k]) <= radius]
-                if len(near):
-                    yield near, np.full(len(near), k)
-            return
-        far = np.bitwise_count(probes[which] ^ self.values[self.root]).astype(np.int64)
-        near = which[far <= radius]
-        if len(near):
-            yield near, np.full(len(near), self.root)
-        for key, child in self.children.items():
-            yield from child.pairs(probes, which[np.abs(far - key) <= radius], radius)
+class BKTrees:
+    """One BK-tree for each group of 64-bit numbers, built and searched level by level over whole arrays.
+
+    Each number is a node.  The children of a node are keyed by their Hamming distance to it, so all below the
+    edge k lie at distance k; a search with radius r at distance d from a node follows the edges d-r to d+r."""
+
+    def __init__(self, values: np.ndarray, group: np.ndarray):
+        """group: numbers from 0, ascending."""
+        self.values = values
+        members = np.arange(len(values))
+        keys, nodes, under = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], group
+        self.roots, self.size = np.full(int(group.max(initial=-1)) + 1, -1), np.bincount(group)
+        while len(members):
+            first = np.r_[True, under[1:] != under[:-1]]
+            head = members[first]
+            if under is group:
+                self.roots[group[first]] = head
+            else:
+                keys.append(under[first])
+                nodes.append(head)
+            parent = np.repeat(head, np.diff(np.r_[np.flatnonzero(first), len(members)]))[~first]
+            members = members[~first]
+            under = self._edge(parent, np.bitwise_count(values[members] ^ values[parent]).astype(np.int64))
+            order = np.argsort(under, kind="stable")
+            members, under = members[order], under[order]
+        self.keys, self.nodes = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(self.keys)
+        self.keys, self.nodes = self.keys[order], self.nodes[order]
+
+    @staticmethod
+    def _edge(node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return node * 65 + key
+
+    def pairs(self, probes: np.ndarray, group: np.ndarray, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of (place in probes, place in values) of one group, at most `radius` apart; so many probes are on
+        their way at a time that these meet at most `most` nodes, or one probe."""
+        work = np.cumsum(self.size[group])
+        i = 0
+        while i < len(probes):
+            j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + most, "right")))
+            which, at = np.arange(i, j), self.roots[group[i:j]]
+            while len(which):
+                far = np.bitwise_count(probes[which] ^ self.values[at]).astype(np.int64)
+                near = far <= radius
+                if near.any():
+                    yield which[near], at[near]
+                found = []
+                for key in range(-radius, radius + 1):
+                    edge = self._edge(at, far + key)
+                    place = np.minimum(np.searchsorted(self.keys, edge), max(0, len(self.keys) - 1))
+                    hit = (self.keys[place] == edge) & (far + key >= 0) & (far + key <= 64) if len(self.keys) else np.zeros(len(edge), bool)
+                    found.append((which[hit], self.nodes[place[hit]] if len(self.keys) else at[hit]))
+                which, at = (np.concatenate(x) for x in zip(*found))
+            i = j
 
 
 class _Forest:
@@ -129,19 +147,22 @@ class _Forest:
             self.kept.append((a[one], b[one]))
 
 
-def _links(probe: np.ndarray, tree: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint links that keep the components of all links between the two sets."""
-    values = tree if same else np.concatenate([tree, probe])
-    forest = _Forest(len(values))
-    shift = 0 if same else len(tree)
-    built = BKTree(tree)
-    for i in range(0, len(probe), 4096):
-        for p, k in built.pairs(probe, np.arange(i, min(i + 4096, len(probe))), radius):
-            forest.add(p + shift, k)
+def _links(fp: np.ndarray, part: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint links that keep the components of all links within each group.  A group of one part is probed with
+    itself; of two parts, the tree of the lower is probed with the other."""
+    start = np.r_[True, group[1:] != group[:-1]]
+    number = np.cumsum(start) - 1
+    low = np.minimum.reduceat(part, np.flatnonzero(start))[number]
+    high = np.maximum.reduceat(part, np.flatnonzero(start))[number]
+    tree, probe = np.flatnonzero(part == low), np.flatnonzero((part != low) | (low == high))
+    forest = _Forest(len(fp))
+    for p, k in BKTrees(fp[tree], number[tree]).pairs(fp[probe], number[probe], radius):
+        own = probe[p] != tree[k]
+        forest.add(probe[p[own]], tree[k[own]])
     if not forest.kept:
-        return values[:0], values[:0]
+        return fp[:0], fp[:0]
     a, b = (np.concatenate(x) for x in zip(*forest.kept))
-    return values[a], values[b]
+    return fp[a], fp[b]
 
 
 def linked(fps: DataFrame, radius: int = 4, blocks: int = 6, shard: int = 16384) -> DataFrame:
@@ -150,8 +171,10 @@ def linked(fps: DataFrame, radius: int = 4, blocks: int = 6, shard: int = 16384)
 
     The 64 bits are cut in `blocks` parts; two fingerprints within the radius agree in some
     blocks - radius of them, so every choice of that many parts gives one shard key.  A shard holds
-    equal keys.  One of over `shard` members is dealt to several, and every pair of these meets in a
-    task of its own; so what a tree holds, and what it is sent, is bounded, and no link is lost."""
+    equal keys, has a BK-tree, and is searched with its members; the trees of all shards are as many as the
+    data and go to the tasks of their probes, not to every executor.  A shard of over `shard` members is dealt to
+    several trees, and every pair of these meets in a task of its own; so what a tree holds, and what it is
+    sent, is bounded, and no link is lost."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
@@ -168,25 +191,8 @@ def linked(fps: DataFrame, radius: int = 4, blocks: int = 6, shard: int = 16384)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, low, high); a group may go over a batch's end."""
 
-        def solve(fp: np.ndarray, part: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(group)) + 1
-            starts, stops = np.r_[0, cut], np.r_[cut, len(group)]
-            size = stops - starts
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for step in range(1, 32):  # groups of up to 32 by shifts
-                small = np.repeat(size <= 32, size)
-                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, int)
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= radius]
-                out.append((fp[i], fp[i + step]))
-            for s, e in zip(starts[size > 32].tolist(), stops[size > 32].tolist()):
-                f, p = fp[s:e], part[s:e]
-                if p[0] == p[-1] and (p == p[0]).all():
-                    out.append(_links(f, f, True, radius))
-                else:
-                    out.append(_links(f[p == p.min()], f[p != p.min()], False, radius))
-            a, b = (np.concatenate(x) for x in zip(*out)) if out else (fp[:0], fp[:0])
+        def solve(*rows: np.ndarray) -> pa.RecordBatch:
+            a, b = _links(*rows, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

@@ -25,7 +25,7 @@ from quadrille.llm.quality_classifier import classify
 from quadrille.llm.quality_rules import quality_rules
 from quadrille.llm.sentencepiece_viterbi import Pieces, decode_pieces, encode_pieces, piece_path
 from quadrille.llm.shingle_dedup import keep_similar, similar_components
-from quadrille.llm.simhash_dedup import keep_one, linked, simhash_components
+from quadrille.llm.simhash_dedup import BKTrees, keep_one, linked, simhash_components
 from quadrille.llm.substring_dedup import FingerprintIndex, dedup_substrings
 
 from ..oracle import differences
@@ -425,6 +425,22 @@ def test_fingerprint_links_in_a_dense_cluster(spark, shard):
     assert got == want
 
 
+@pytest.mark.parametrize("radius", [0, 2, 4])
+def test_trees_find_all_pairs_by_their_edges(radius):
+    rng = np.random.default_rng(radius)
+    group = np.sort(rng.integers(0, 9, 600))
+    group = np.unique(group, return_inverse=True)[1]
+    values = np.array([int(c) for c in rng.integers(0, 1 << 62, 9, dtype=np.uint64)], np.uint64)[group]
+    for _ in range(4):
+        values = values ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    trees = BKTrees(values, group)
+    assert len(trees.nodes) + len(trees.roots) == 600
+    for most in (1 << 21, 50):
+        got = [(int(p), int(k)) for a, b in trees.pairs(values, group, radius, most) for p, k in zip(a, b)]
+        assert len(got) == len(set(got))
+        assert set(got) == {(i, j) for i in range(600) for j in range(600) if group[i] == group[j] and (int(values[i]) ^ int(values[j])).bit_count() <= radius}
+
+
 def similar_texts():
     """Texts with copies of which 0 to 12 words are changed, a large group of near copies, and odd ones."""
     rng = random.Random(11)
