@@ -84,8 +84,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of docs: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     Every run of k words of every text is hashed and joined to the places of the templates (a broadcast table of
-    a fixed number of rows); of runs that meet, the words are compared.  A hit votes for its diagonal, place in
-    text less place in template; votes of diagonals at most `slack` apart are merged, so a word more or less breaks
+    a fixed number of rows).  Hashes have 64 bits, and only those of the templates' few hundred runs could be met by
+    chance.  A hit votes for its diagonal, place in text less place in template; votes of diagonals at most `slack` apart are merged, so a word more or less breaks
     no span.  A span of a notice is verified by its runs: name and version whole, and of the others as many
     as one word changed, left out or put in leaves, or `coverage` of them if that is fewer; a phrase by all of
     it on one diagonal.  score: the best share of a verified span's runs, else 0.
@@ -102,19 +102,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rolling = F.xxhash64(rolling, F.xxhash64(F.get(F.split("_gram", " "), F.lit(i))))
     spots = spots.withColumn("_h", F.when(F.col("_template") < 0, F.lit(0).cast("long")).otherwise(rolling))
     kind = _values(spark, kinds, "_template, _label, _parts, _least, _key, _exact")
-    listed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), words_of(F.col(text_col)).alias("_w"))
-    hashed = listed.select("doc_id", "_th", "_w", F.transform("_w", lambda x: F.xxhash64(lowered(x))).alias("_g"))
+    # only hashes of words leave the projection: rows with the words, one for each run, would grow with the square of a text
+    listed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_th"), F.transform(words_of(F.col(text_col)), lambda x: F.xxhash64(lowered(x))).alias("_g"))
     grams, size = F.col("_g"), F.size("_g")
     for i in range(1, k):  # the hash of a run goes on from that of its first words; what runs over the end meets nothing
         grams = F.zip_with(grams, F.slice("_g", F.lit(i + 1), F.greatest(size - i, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     # outer: no test of the size is inferred and pushed below the projection, where it would make all words again
-    rolled = hashed.select("doc_id", "_th", "_w", F.posexplode_outer(F.concat(F.array(F.lit(0).cast("long")), grams)).alias("_pos", "_h"))
-    met = rolled.join(F.broadcast(spots), "_h")
-    same = F.array_join(F.transform(F.slice("_w", F.greatest("_pos", F.lit(1)), F.lit(k)), lowered), " ") == F.col("_gram")
-    hits = met.where(F.when(F.col("_template") < 0, F.col("_pos") == 0).otherwise((F.col("_pos") > 0) & same))
+    marked = listed.select("doc_id", "_th", size.cast("long").alias("_words"), F.concat(F.array(F.lit(0).cast("long")), grams).alias("_g"))
+    rolled = marked.select("doc_id", "_th", "_words", F.posexplode_outer("_g").alias("_pos", "_h"))
+    hits = rolled.join(F.broadcast(spots), "_h").where((F.col("_template") < 0) == (F.col("_pos") == 0))
     key = ["doc_id", "_th"]
-    n = F.when(F.col("_template") < 0, F.size("_w")).cast("long")
-    votes = hits.groupBy(*key, "_template", (F.col("_pos") - 1 - F.col("_at")).alias("_diagonal")).agg(F.bit_or("_bit").alias("_seen"), F.max(n).alias("_n"), F.count("*").alias("_copies"))
+    votes = hits.groupBy(*key, "_template", (F.col("_pos") - 1 - F.col("_at")).alias("_diagonal")).agg(F.bit_or("_bit").alias("_seen"), F.max("_words").alias("_n"), F.count("*").alias("_copies"))
     by_place = Window.partitionBy(*key, "_template").orderBy("_diagonal")
     told = votes.join(F.broadcast(kind), "_template", "left")
     far = F.col("_diagonal") - F.lag("_diagonal").over(by_place)
