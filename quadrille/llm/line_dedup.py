@@ -156,18 +156,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the lines that an earlier line repeats, and n_lines and n_removed beside them.
-
-    Null text: no lines, stays null.  Blank lines stay.  A row with a null id is compared with
-    nothing.  Rows of one id are one document, whose lines of one number are not compared."""
-    lines = "_lines"
-    found = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("id", "_id")
+    """docs without the lines that an earlier line repeats, and n_lines and n_removed beside them, which replace
+    columns of docs of that name.
+
+    Null text: no lines, stays null.  Blank lines stay, so an empty text is one.  A row with a null id is compared with
+    nothing.  Rows of one id are one document, whose lines of one number are not compared.  An empty table
+    gives no rows.  A very long text is cut into lines in one row; its lines are then rows like others.  Ids are of any
+    type that has an order.  Other columns may have any name."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    found = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", "t", **how)
+    # numbers for names on the way, so that no column of docs clashes with another
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     # cut after the join: the lines would else be shuffled beside the text
-    joined = docs.join(found, F.col(id_col) == F.col("_id"), "left").withColumn(lines, F.split(text_col, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
+    joined = own.join(found.withColumnRenamed("id", "_own"), F.col("_id") == F.col("_own"), "left").withColumn("_lines", F.split("_t", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+        *[(text if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)],
+        F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -166,6 +166,16 @@ def test_line_dedup_finds_an_edit_in_lines_of_any_length(spark, alphabet):
     assert {k: got[k][0]["text"] for k in want} == {k: "\n".join(v) for k, v in want.items()}
 
 
+def test_line_dedup_with_clashing_names(spark, texts):
+    names = ("id", "gone", "_id", "_t", "t", "no", "line", "lines", "_lines", "own", "h", "_c0", "a.b", "n_lines")
+    df = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got, plain = collect(dedup_lines(df)), collect(dedup_lines(df.select("doc_id", "text")))
+    assert all(got[i][0]["text"] == plain[i][0]["text"] and got[i][0]["n_lines"] == plain[i][0]["n_lines"] for i in plain)
+    assert all(got[i][0][c] == f"{c}{i}" for i in got for c in names if c != "n_lines")
+    by_name = df.select(F.format_string("%04d", "doc_id").alias("doc_id"), "text")
+    assert {int(i): r[0]["text"] for i, r in collect(dedup_lines(by_name)).items()} == {i: r[0]["text"] for i, r in plain.items()}
+
+
 def test_short_lines_go_if_equal(spark):
     rows = [(0, "Les.\nabc\n\nLes,"), (1, " Les. \n\nabcd\nabc\r"), (2, "Les.")]
     got = collect(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
