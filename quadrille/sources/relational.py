@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import value_type
-from ..model import Graph
+from ..model import PROPERTIES, Graph
 
 
 @dataclass(frozen=True)
@@ -51,45 +51,62 @@ TABLES = {
 }
 
 
-def lexical(column: str, kind: T.DataType) -> tuple[Column, str | None]:
-    """(text, datatype) of a typed column: numbers with a fraction have two digits of it, times are ISO."""
-    c = F.col(column)
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return c.cast("decimal(18,2)").cast("string"), "xsd:decimal"
-    if isinstance(kind, T.IntegralType):
-        return c.cast("string"), "xsd:integer"
-    if isinstance(kind, T.BooleanType):
-        return c.cast("string"), "xsd:boolean"
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.date_format(c, "yyyy-MM-dd"), "xsd:date"
-    return c.cast("string"), None
+def lexical(column: str, kind: T.DataType) -> tuple[Column, Column]:
+    """(text, datatype) of a typed column.  Numbers with a fraction have two digits of it, or all if they need
+    more; a time of midnight is a day."""
+    c, datatype = F.col(column), F.lit(None).cast("string")
+    text = c.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        cents = (F.round(c, 2) == c) & (F.abs(c) < 1e15)
+        return F.when(cents, c.try_cast("decimal(18,2)").cast("string")).otherwise(text), F.when(cents, "xsd:decimal").otherwise("xsd:double")
+    if isinstance(kind, T.DecimalType):
+        datatype = F.lit("xsd:decimal")
+    elif isinstance(kind, T.IntegralType):
+        datatype = F.lit("xsd:integer")
+    elif isinstance(kind, T.BooleanType):
+        datatype = F.lit("xsd:boolean")
+    elif isinstance(kind, T.DateType):
+        text, datatype = F.date_format(c, "yyyy-MM-dd"), F.lit("xsd:date")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        day = c == F.date_trunc("day", c).cast(kind)
+        whole = F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
+        whole = F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(whole)
+        text, datatype = F.when(day, F.date_format(c, "yyyy-MM-dd")).otherwise(whole), F.when(day, "xsd:date").otherwise("xsd:dateTime")
+    return text, datatype
+
+
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def lift_table(df: DataFrame, how: TableMap, with_nodes: bool = True) -> Graph:
-    """One scan for each of the four tables, each with only the columns that it needs."""
+    """A scan for each property and each reference, with its column and the key alone.
+
+    The predicate of a scan is a literal, so a query for some predicates keeps their scans and no other, and a
+    filter goes down to the column."""
     kinds = {f.name: f.dataType for f in df.schema}
     iri = how.iri()
     nodes = df.select(iri.alias("iri"), F.lit(False).alias("is_blank"), F.lit(True).alias("has_subject"), F.lit(0).cast("long").alias("node_seq"))
     types = df.select(iri.alias("iri"), F.lit(how.type).alias("type"), F.lit(0).cast("long").alias("type_seq"))
-    cells = []
+    cells, links = [], []
     for i, name in enumerate(how.properties):
-        text, datatype = lexical(name, kinds[name])
+        text, typed = lexical(name, kinds[name])
         lang = F.col(how.lang[name]) if name in how.lang else F.lit(None).cast("string")
-        typed = F.lit(datatype).cast("string")
         cells.append(
-            F.struct(
-                F.lit(f"{how.prefix}:{name}").alias("pred"), text.alias("value"), F.when(lang.isNotNull(), "lang").otherwise("typed" if datatype else "plain").alias("kind"),
+            df.where(F.col(name).isNotNull()).select(
+                iri.alias("iri"), F.lit(f"{how.prefix}:{name}").alias("pred"), text.alias("value"), F.when(lang.isNotNull(), "lang").when(typed.isNotNull(), "typed").otherwise("plain").alias("kind"),
                 lang.alias("lang"), typed.alias("datatype"), value_type(text, lang, typed).alias("value_type"), F.lit(i).cast("long").alias("seq"),
             )
         )
-    cells = cells or [F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("pred", "string"), ("value", "string"), ("kind", "string"), ("lang", "string"), ("datatype", "string"), ("value_type", "int"), ("seq", "long"))])]
-    properties = df.select(iri.alias("iri"), F.inline(F.array(*cells))).where("value is not null")
-    links = [
-        F.struct(F.lit(pred).alias("pred"), F.concat(F.lit(f"{how.prefix}:{target}/"), F.col(c).cast("string")).alias("dst"), F.lit(i).cast("long").alias("seq"))
-        for i, (c, (pred, target)) in enumerate(how.references.items())
-    ] or [F.struct(F.lit(None).cast("string").alias("pred"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("long").alias("seq"))]
-    edges = df.select(iri.alias("src"), F.inline(F.array(*links))).where("dst is not null").select("src", "pred", "dst", "seq")
-    return Graph(nodes, types, properties, edges)
+    for i, (c, (pred, target)) in enumerate(how.references.items()):
+        links.append(df.where(F.col(c).isNotNull()).select(iri.alias("src"), F.lit(pred).alias("pred"), F.concat(F.lit(f"{how.prefix}:{target}/"), F.col(c).cast("string")).alias("dst"), F.lit(i).cast("long").alias("seq")))
+    spark = df.sparkSession
+    return Graph(nodes, types, _union(cells, spark, PROPERTIES), _union(links, spark, "src string, pred string, dst string, seq long"))
 
 
 def lift(spark: SparkSession, sf_dir: str, *tables: str, maps: dict[str, TableMap] = TABLES) -> Graph:
