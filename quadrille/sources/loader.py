@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import urllib.request
 from collections.abc import Iterator
@@ -20,39 +21,62 @@ from . import parsers
 EXTENSIONS = ("ttl", "rdf", "xml", "nt", "trig", "nq", "jsonld", "csv", "json", "ndjson")
 FOLDER_EXTENSIONS = ("ttl", "rdf", "xml", "nt", "nq", "trig", "jsonld")
 _COLUMNS = [c.split()[0] for c in TRIPLES.split(", ")]
-#: Room for the triples of one file in seq.
-_FILE = 1 << 40
+#: Room for the triples of one file in seq, and rows that leave a parser at a time.
+_FILE, _BLOCK = 1 << 40, 10_000
 
 
 def _parse(kind: str, path: str, text: str, prefixes: Prefixes) -> Iterator[tuple]:
-    """Rows of TRIPLES of one file, with compacted IRIs.  Reading ends at the first mistake; what stands before is kept."""
+    """Rows of TRIPLES of one file, with compacted IRIs.  A mistake is told and left out: in Turtle and TriG the rest of
+    its statement, in N-Triples its line; of the other formats what stands before it is kept."""
     name = path.rsplit("/", 1)[-1]
     hash_ = file_hash(name)
-    if kind in ("ttl", "trig"):
-        got = parsers.turtle(text)
-    elif kind == "rdf" or (kind == "xml" and "http://www.w3.org/1999/02/22-rdf-syntax-ns#" in text[:2000]):
-        got = parsers.rdf_xml(text)
-    elif kind in ("nt", "nq"):
-        got = parsers.ntriples(text)
-    elif kind == "jsonld":
-        got = parsers.json_ld(text)
-    elif kind == "json":
-        got = iter(parsers.json_tree(text, hash_)[0])
-    else:
-        got = parsers.xml_tree(text, hash_)
-    if kind in ("ttl", "trig"):  # the document's own prefixes
+    mistakes: list[str] = []
+    if kind in ("ttl", "trig"):  # the document's own prefixes are known before its first triple
         for p, base in _declared(text):
             prefixes.add(p, base)
     short = prefixes.compact_text
     node = lambda t: f"_:{name}:{t[1]}" if t[0] == "blank" else short(t[1])
     try:
+        if kind in ("ttl", "trig"):
+            got = parsers.turtle(text, mistakes=mistakes)
+        elif kind == "rdf" or (kind == "xml" and parsers.is_rdf_xml(text)):
+            got = parsers.rdf_xml(text)
+        elif kind in ("nt", "nq"):
+            got = parsers.ntriples(text)
+        elif kind == "jsonld":
+            got = parsers.json_ld(text)
+        elif kind == "json":
+            got = iter(parsers.json_tree(text, hash_)[0])
+        else:
+            got = parsers.xml_tree(text, hash_)
         for i, (s, p, o) in enumerate(got):
             literal = o[0] == "literal"
             yield node(s), s[0] == "blank", short(p), o[1] if literal else node(o), o[0], short(o[3]) if literal and o[3] else None, o[2] if literal else None, i
-    except (ValueError, SyntaxError) as e:
+    except (ValueError, SyntaxError, RecursionError, AttributeError, KeyError) as e:
+        mistakes.append(str(e))
+    for e in mistakes:
         print(f"{path}: {e}")
 
 
+def _parsed(files: DataFrame, kind: str, prefixes: dict[str, str] | None) -> DataFrame:
+    """files: (path, text).  A file a task; seq is the file's number, in order of paths, and the triple's within it."""
+    more = dict(prefixes or {})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["path"], pdf["text"]):
+                rows = _parse(kind, name, text, Prefixes(more))
+                while block := list(itertools.islice(rows, _BLOCK)):
+                    out = pd.DataFrame(block, columns=_COLUMNS)
+                    out["path"] = name
+                    yield out
+
+    # one row a file: their number, not their size, is in one task
+    number = files.select("path").distinct().select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file"))
+    found = files.mapInPandas(run, TRIPLES + ", path string").join(number, "path")
+    return found.withColumn("seq", F.col("file") * _FILE + F.col("seq")).select(*_COLUMNS)
+
+
 def _declared(text: str) -> Iterator[tuple[str, str]]:
     import re
 
@@ -72,15 +96,11 @@ def read_triples(spark: SparkSession, path: str, kind: str | None = None, prefix
         return csv_triples(spark, path)
     if kind == "ndjson":
         return ndjson_triples(spark, path)
-    more = dict(prefixes or {})
+    return _parsed(_whole(spark.read, path), kind, prefixes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, text in zip(pdf["path"], pdf["text"]):
-                yield pd.DataFrame(list(_parse(kind, name, text, Prefixes(more))), columns=_COLUMNS)
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return files.mapInPandas(run, TRIPLES)
+def _whole(reader, path: str) -> DataFrame:
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _unescape(c):
@@ -120,8 +140,12 @@ def numbered(df: DataFrame, order: str, count: str | None = None) -> DataFrame:
 
 
 def csv_triples(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """A row is a node, a column a predicate, empty cells are nothing. [S-07]"""
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, multiLine=False, escape='"')
+    """A row is a node, a column a predicate, empty cells are nothing. [S-07]
+
+    A line with an odd number of quotes begins a cell that goes on in the next one.  Only files of which one has such a line
+    are read whole; others are split."""
+    odd = spark.read.text(path).where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, multiLine=not odd.isEmpty(), quote='"', escape='"')
     name = path.rstrip("/").rsplit("/", 1)[-1]
     rows = numbered(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), "n")
     subj = F.concat(F.lit(f"urn:row:{file_hash(name)}:"), (F.col("n") + 1).cast("string"))
@@ -181,12 +205,7 @@ def load_folder(spark: SparkSession, path: str, languages: list[str] | None = No
     for kind in kinds:
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
 
-        def run(batches: Iterator[pd.DataFrame], kind: str = kind) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for name, text in zip(pdf["path"], pdf["text"]):
-                    yield pd.DataFrame(list(_parse(kind, name, text, Prefixes())), columns=_COLUMNS)
-
-        got = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).mapInPandas(run, TRIPLES)
+        got = _parsed(_whole(reader, path), kind, None)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], TRIPLES)
@@ -197,15 +216,23 @@ def load_folder(spark: SparkSession, path: str, languages: list[str] | None = No
 ACCEPT = {"ttl": "text/turtle", "rdf": "application/rdf+xml", "nt": "application/n-triples"}
 
 
-def fetch(url: str, kind: str, target: str) -> str:
-    """Download to a path that the cluster can read; load() takes it from there. [S-12]"""
+def fetch(spark: SparkSession, url: str, kind: str, target: str) -> str:
+    """Download to a path in a store that the cluster shares; load() takes it from there. [S-12]"""
     with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": ACCEPT[kind]})) as r:  # noqa: S310
-        data = r.read()
-    with open(target, "wb") as f:
-        f.write(data)
+        write_file(spark, target, r.read())
     return target
 
 
+def write_file(spark: SparkSession, target: str, data: bytes) -> None:
+    """One file through the file system that Spark has for its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
 def describe_query(iri: str, most: int = 500) -> str:
     """What a remote endpoint would be asked about one node. [S-13]"""
     return f"CONSTRUCT {{ <{iri}> ?p ?o . ?s ?q <{iri}> }} WHERE {{ {{ <{iri}> ?p ?o }} UNION {{ ?s ?q <{iri}> }} }} LIMIT {most}"

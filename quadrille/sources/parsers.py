@@ -53,14 +53,18 @@ class Turtle:
         self.next: tuple[str, str] | None = None
         self.out: list[Triple] = []
         self.blanks = 0
+        self.mistakes: list[str] = []
         self._advance()
 
     def _scan(self) -> Iterator[tuple[str, str]]:
         at = 0
         while at < len(self.text):
             m = _TOKEN.match(self.text, at)
-            if not m:
-                raise ValueError(f"not understood at {self.text[at : at + 40]!r}")
+            if not m:  # up to the next blank
+                bad = re.compile(r"\S+").match(self.text, at)
+                at = bad.end()
+                yield "bad", bad[0]
+                continue
             at = m.end()
             if m.lastgroup != "skip":
                 yield m.lastgroup, m[0]
@@ -91,14 +95,23 @@ class Turtle:
         return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
 
     def parse(self) -> Iterator[Triple]:
-        """What could be read before a mistake is given first; then ValueError."""
+        """A statement with a mistake gives what stands before it; reading goes on after the next full stop."""
         while self.next:
-            self._statement()
+            try:
+                self._statement()
+            except (ValueError, TypeError, RecursionError) as e:  # TypeError: the text ends within a statement
+                self.mistakes.append(str(e))
+                while self.next and not self._is("."):
+                    self._advance()
+                self._advance()
             yield from self.out
             self.out.clear()
 
     def _statement(self) -> None:
         kind, token = self.next
+        if self._is("}"):  # the end of a graph of which a statement was left out
+            self._advance()
+            return
         word = token.lower().lstrip("@")
         if (kind == "lang" and word in ("prefix", "base")) or (kind == "word" and word in ("prefix", "base")):
             self._advance()
@@ -205,8 +218,10 @@ class Turtle:
         raise ValueError(f"a term expected, found {token}")
 
 
-def turtle(text: str, base: str = "") -> Iterator[Triple]:
-    return Turtle(text, base).parse()
+def turtle(text: str, base: str = "", mistakes: list[str] | None = None) -> Iterator[Triple]:
+    parser = Turtle(text, base)
+    parser.mistakes = parser.mistakes if mistakes is None else mistakes
+    return parser.parse()
 
 
 _LINE = re.compile(
@@ -398,24 +413,22 @@ def json_tree(text: str, hash_: str, count: int = 0) -> tuple[list[Triple], int]
     out: list[Triple] = []
     number = [count]
 
-    def walk(v, path: tuple[str, ...], parent: Term | None) -> None:
+    stack: list[tuple] = [(json.loads(text), (), None)]
+    while stack:
+        v, path, parent = stack.pop()
         if isinstance(v, dict):
             me = ("iri", f"urn:json:{hash_}#{number[0]}")
             number[0] += 1
             out.append((me, RDF + "type", ("iri", ":".join([f"urn:json:{hash_}", *path]))))
             if parent and path:
                 out.append((me, f"urn:json:{hash_}#{path[-1]}", parent))
-            for k, x in v.items():
-                walk(x, (*path, slugify(k)), me)
+            stack += [(x, (*path, slugify(k)), me) for k, x in reversed(v.items())]
         elif isinstance(v, list):
-            for x in v:
-                walk(x, path, parent)
+            stack += [(x, path, parent) for x in reversed(v)]
         elif parent and path and v is not None and v != "":
             kind = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else None
             text = ("true" if v else "false") if kind == "boolean" else repr(v) if kind == "double" else str(v)
             out.append((parent, f"urn:json:{hash_}#{path[-1]}", ("literal", text, None, kind and XSD + kind)))
-
-    walk(json.loads(text), (), None)
     return out, number[0]
 
 
@@ -423,16 +436,15 @@ def xml_tree(text: str, hash_: str) -> Iterator[Triple]:
     """XML as triples: an element with attributes or elements in it is a node, tied to the one around it; one of
     text alone is a literal of the node around it. [S-10]"""
     local = lambda tag: tag.rpartition("}")[2]
-    number = 0
-
-    def walk(e: ET.Element, parent: Term | None) -> Iterator[Triple]:
-        nonlocal number
+    number, stack = 0, [(ET.parse(io.StringIO(text)).getroot(), None)]
+    while stack:
+        e, parent = stack.pop()
         tag, pred = local(e.tag), f"urn:xml:pred:{hash_}#{slugify(local(e.tag))}"
         text_ = (e.text or "").strip()
         if not len(e) and not e.attrib and parent:
             if text_:
                 yield parent, pred, ("literal", text_, None, None)
-            return
+            continue
         me = ("iri", f"urn:xml:{hash_}#{number}")
         number += 1
         yield me, RDF + "type", ("iri", f"urn:xml:{hash_}#{slugify(tag)}")
@@ -442,7 +454,17 @@ def xml_tree(text: str, hash_: str) -> Iterator[Triple]:
             yield me, f"urn:xml:attr:{hash_}#{k}", ("literal", v, None, None)
         if text_ and e.attrib:
             yield me, "urn:xml:text", ("literal", text_, None, None)
-        for c in e:
-            yield from walk(c, me)
-
-    yield from walk(ET.parse(io.StringIO(text)).getroot(), None)
+        stack += [(c, me) for c in reversed(e)]
+
+
+def is_rdf_xml(text: str) -> bool:
+    """Whether the names that an XML text's first element declares are those of RDF."""
+    try:
+        for event, what in ET.iterparse(io.StringIO(text), events=("start-ns", "start")):
+            if event == "start":
+                return False
+            if what[1] == RDF:
+                return True
+    except ET.ParseError:
+        pass
+    return False

@@ -112,7 +112,8 @@ def store(graph: Graph, path: str, prefixes: Prefixes | None = None, view: DataF
 
 def restore(spark: SparkSession, path: str) -> Graph:
     """[S-14]"""
-    return Graph(*(spark.read.schema(s).parquet(f"{path}/{n}") for n, s in SCHEMAS.items()))
+    tables = (spark.read.schema(s).parquet(f"{path}/{n}").select([c.split()[0] for c in s.split(", ")]) for n, s in SCHEMAS.items())
+    return Graph(*tables)
 
 
 def restore_prefixes(spark: SparkSession, path: str) -> Prefixes:

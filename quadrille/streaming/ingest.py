@@ -11,14 +11,16 @@ from ..sources.loader import SCHEMAS, ntriples
 
 
 def follow_ntriples(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each new N-Triples file of a folder to a stored graph; a batch is parsed by the batch reader's own plan."""
+    """Add each new N-Triples file of a folder to a stored graph; a batch is parsed by the batch reader's own plan.
 
-    def add(batch: DataFrame, _: int) -> None:
+    A batch has a folder of its own, which a second attempt writes anew, so no row comes twice."""
+
+    def add(batch: DataFrame, number: int) -> None:
         files = [r[0] for r in batch.select("file").distinct().collect()]
         if files:
             graph = build_graph(ntriples(spark, files))
             for name in SCHEMAS:
-                getattr(graph, name).write.mode("append").parquet(f"{target}/{name}")
+                getattr(graph, name).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
     lines = spark.readStream.format("text").option("pathGlobFilter", "*.nt").load(folder).select(F.col("_metadata.file_path").alias("file"))
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -56,7 +56,7 @@ def test_louvain(spark):
     assert len(set(community.louvain_local(16, SIXTEEN))) == 3
     # names sort as texts there, so nodes are visited in another order
     found = community.louvain(*graph(spark, 16, SIXTEEN))
-    assert found.count() == 16 and found.select("cluster").distinct().count() < 16
+    assert found.count() == 16 and found.select("cluster").distinct().count() == 3
 
 
 def test_spectral(spark):
@@ -173,6 +173,44 @@ def test_json_and_xml_files(spark, tmp_path):
         loader.read_triples(spark, "x.unknown")
 
 
+def test_a_mistake_leaves_out_one_statement(spark, tmp_path):
+    good = "<http://e/{0}> <http://e/p> \"{0}\" .\n"
+    (tmp_path / "a.ttl").write_text(good.format("a") + "<http://e/x> <http://e/p> unknown:name, 1 .\n" + good.format("b") + "<http://e/y> § <http://e/p> .\n" + good.format("c") + "<http://e/z> <http://e/p>")
+    (tmp_path / "b.trig").write_text("<http://e/g> { " + good.format("a") + " <http://e/x> no:such 1 . " + good.format("b") + " }\n" + good.format("c"))
+    for name in ("a.ttl", "b.trig"):
+        assert sorted(r["value"] for r in loader.load(spark, str(tmp_path / name)).properties.collect()) == ["a", "b", "c"], name
+
+
+def test_csv_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,"two\nlines, ""quoted"""\n2,"a, b"\n3,\n')
+    got = sorted((r["iri"][-1], r["pred"][-1], r["value"]) for r in loader.load(spark, str(tmp_path / "a.csv")).properties.collect())
+    assert got == [("1", "n", "1"), ("1", "t", 'two\nlines, "quoted"'), ("2", "n", "2"), ("2", "t", "a, b"), ("3", "n", "3")]
+
+
+def test_deep_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a":' * 400 + "1" + "}" * 400)
+    assert loader.load(spark, str(tmp_path / "a.json")).nodes.count() == 400
+    (tmp_path / "b.json").write_text("[" * 200_000 + "]" * 200_000)  # beyond the reader: nothing, and no failure
+    assert loader.load(spark, str(tmp_path / "b.json")).nodes.count() == 0
+    (tmp_path / "c.xml").write_text("<a>" * 3000 + "<b x='1'/>" + "</a>" * 3000)
+    assert loader.load(spark, str(tmp_path / "c.xml")).nodes.count() == 3001
+
+
+def test_xml_is_rdf_by_its_first_element(spark, tmp_path):
+    head = "<?xml version='1.0'?><!--" + "x" * 5000 + "-->"
+    (tmp_path / "a.xml").write_text(f'{head}<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="http://e/"><e:T rdf:about="http://e/a"/></rdf:RDF>')
+    (tmp_path / "b.xml").write_text(f'<data><p about="{RDF}"/></data>')
+    assert {r["type"] for r in loader.load(spark, str(tmp_path / "a.xml")).types.collect()} == {"http://e/T"}
+    assert loader.load(spark, str(tmp_path / "b.xml")).types.count() == 2
+
+
+def test_several_files_keep_their_order(spark, tmp_path):
+    for i in (2, 1, 3):
+        (tmp_path / f"{i}.ttl").write_text(f'<http://e/a> <http://e/p> "v{i}" .')
+    t = loader.read_triples(spark, str(tmp_path / "*.ttl"), "ttl")
+    assert [r["obj"] for r in t.orderBy("seq").collect()] == ["v1", "v2", "v3"] and t.select("seq").distinct().count() == 3
+
+
 def test_lists(spark):
     edges = [("h", "p", "c1", 7), ("c1", RDF_REST, "c2", 0), ("c2", RDF_REST, "c3", 0), ("c3", RDF_REST, RDF_NIL, 0), ("c1", RDF_FIRST, "x", 0), ("c3", RDF_FIRST, "y", 0)]
     props = [("c2", RDF_FIRST, "lit", "plain", None, None, 2, 0)]
