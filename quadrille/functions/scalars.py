@@ -106,6 +106,19 @@ def slugify(text: str) -> str:
     return "-".join("".join(c if c.isalnum() else " " for c in plain).split())
 
 
+def slug(c: Column) -> Column:
+    """slugify() of a column of ASCII texts. [X-07]"""
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def percent_encoded(c: Column) -> Column:
+    """percent_encode() of a column: url_encode() and the five marks that it leaves. [X-08]"""
+    c = F.url_encode(c)
+    for mark, code in (("+", "%20"), ("-", "%2D"), (".", "%2E"), ("*", "%2A"), ("_", "%5F")):
+        c = F.replace(c, F.lit(mark), F.lit(code))
+    return c
+
+
 def percent_encode(text: str) -> str:
     """All but ASCII letters and digits as %XX. [X-08]"""
     return "".join(chr(b) if chr(b).isalnum() and b < 128 else f"%{b:02X}" for b in text.encode())

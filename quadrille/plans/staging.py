@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read from the checkpoint folder from then on."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares; what is written there goes when the program ends."""
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session ended first
+        pass

@@ -54,8 +54,8 @@ def _parse(kind: str, path: str, text: str, prefixes: Prefixes) -> Iterator[tupl
             yield node(s), s[0] == "blank", short(p), o[1] if literal else node(o), o[0], short(o[3]) if literal and o[3] else None, o[2] if literal else None, i
     except (ValueError, SyntaxError, RecursionError, AttributeError, KeyError) as e:
         mistakes.append(str(e))
-    for e in mistakes:
-        print(f"{path}: {e}")
+    if mistakes:
+        print(f"{path}: {len(mistakes)} mistakes, the first: {mistakes[0]}")
 
 
 def _parsed(files: DataFrame, kind: str, prefixes: dict[str, str] | None) -> DataFrame:
