@@ -167,7 +167,11 @@ class _Bins:
             count -= n
 
 
-def plan(histogram: dict[int, int], tokens: int, documents: int, attention: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> list[tuple[int, int, int, int, int]]:
+#: What free room counts: tokens first; among bins with as many tokens free, documents and attention decide.
+WEIGHTS = (1.0, 0.001, 0.001)
+
+
+def plan(histogram: dict[int, int], tokens: int, documents: int, attention: int, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> list[tuple[int, int, int, int, int]]:
     """Vector best-fit decreasing over the histogram of lengths: (length, first rank, first bin, count, offset).
 
     An item is (length, 1, length squared); bins have `tokens`, `documents` and `attention` of these.
@@ -185,7 +189,7 @@ def plan(histogram: dict[int, int], tokens: int, documents: int, attention: int,
     return out
 
 
-def pack_documents(docs: DataFrame, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), salts: int = 256, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, tokens: int = 4096, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, salts: int = 256, **how) -> DataFrame:
     """One row for each piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Sequences have room for `tokens`, and if given for so many `documents` (pieces) and so much
@@ -193,7 +197,9 @@ def pack_documents(docs: DataFrame, tokens: int = 4096, documents: int | None =
     each of `salts` parts, reaches the driver; the plan, which it bounds, goes back.  Ranks among
     pieces of one length are counted within the parts, so a common length is not one task's work.
 
-    Null or empty text: the one end id.  Rows of one id are packed each; null ids as well."""
+    Null or empty text: the one end id.  Rows of one id are packed each; null ids as well.  Pieces of one length are
+    alike to the plan, so ties go by (id, piece).  A very long text is cut into pieces; an empty table gives no rows.
+    Ids are integers; other columns are not read, so their names do not matter."""
     documents, attention = documents or tokens, attention or tokens * tokens
     if attention < tokens * tokens:
         raise ValueError("a piece of full length must fit: attention >= tokens * tokens")

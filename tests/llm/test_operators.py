@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quadrille.llm import chat_format
-from quadrille.llm.best_fit_packing import WordTokens, pack_documents, plan, word_bpe_path
+from quadrille.llm.best_fit_packing import WEIGHTS, WordTokens, pack_documents, plan, word_bpe_path
 from quadrille.llm.components import components
 from quadrille.llm.embedding_dedup import embedding_components
 from quadrille.llm.license_scan import NOTICES, scan_licenses
@@ -279,6 +279,12 @@ def test_plan_holds_every_constraint(rule):
     assert len(bins) < 1.25 * max(sum(lengths) / 512, len(lengths) / 5)
 
 
+def test_vectors_decide_among_bins_of_equal_room():
+    """90 in one bin and 45 twice in another leave 10 tokens free in either: documents or attention choose for the 5."""
+    place = lambda *weights: next(r[2] for r in plan({90: 1, 45: 2, 5: 1}, 100, 100, 10_000, weights=weights) if r[0] == 5)
+    assert place(1.0, 0.001, 0.0) == 1 and place(1.0, 0.0, 0.001) == 0 and place(*WEIGHTS) == 0
+
+
 def test_word_tokens_equal_the_library():
     t = WordTokens(word_bpe_path())
     for text in ["It's 2nd-rate!! don'T 'S", "ÉÈ ñandú Straße ﬁ", "日本 x́", "a<|endoftext|>b", "tab\tnew\nline\x0b\x0c", "\x00\x7f  ", ""]:
