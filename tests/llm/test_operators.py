@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quadrille.llm import chat_format
+from quadrille.llm import queries as llm_queries
 from quadrille.llm.best_fit_packing import WEIGHTS, WordTokens, pack_documents, plan, word_bpe_path
 from quadrille.llm.components import components
 from quadrille.llm.embedding_dedup import embedding_components
@@ -318,10 +319,13 @@ def test_pieces_equal_the_library_and_round_trip(spark, docs, texts):
 # --- 6: chat
 
 
-def test_chat_sql(spark):
-    from quadrille.llm.queries import oracle_sql, queries
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    assert not differences(spark, name, llm_queries.queries()[name], llm_queries.oracle_sql()[name], SF)
 
-    assert not differences(spark, "op6", queries()["op6_chat_format"], oracle_sql()["op6_chat_format"], SF)
+
+def test_forked_conversations_have_a_prompt(spark):
+    assert llm_queries.chat_forks(spark, SF).where("prompt_turns = 0 and chosen like '%|>%|>%'").count() == 0
 
 
 def test_chat_prefix_and_masks(spark):
