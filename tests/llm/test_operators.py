@@ -19,7 +19,7 @@ from quadrille.llm import chat_format
 from quadrille.llm import queries as llm_queries
 from quadrille.llm.best_fit_packing import WEIGHTS, WordTokens, pack_documents, plan, word_bpe_path
 from quadrille.llm.components import components
-from quadrille.llm.embedding_dedup import embedding_components
+from quadrille.llm.embedding_dedup import embedding_components, part_width
 from quadrille.llm.license_scan import NOTICES, scan_licenses
 from quadrille.llm.line_dedup import dedup_lines
 from quadrille.llm.quality_classifier import classify, threshold
@@ -519,26 +519,33 @@ def test_components_of_long_paths(spark):
 # --- 9: embeddings
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("bucket, width", [(256, 8), (0.0127, 16), (0.00005, 24)])
+def test_embeddings(spark, bucket, width):
+    """With few vectors a bucket, parts are wide, and neighbouring values of them are looked at."""
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 64))
     v = [c + s * rng.standard_normal(64) for c in centres for s in (0.05, 0.2, 0.3, 0.4, 0.45)] + [c for c in rng.standard_normal((600, 64))]
     v += [centres[0]] * 30
     rows = [(i, [float(x) for x in vec], i % 3, 1) for i, vec in enumerate(v)]
     n = len(rows)
-    rows += [(n, None, 0, 1), (n + 1, [0.0] * 64, 0, 1), (n + 2, [None] + [1.0] * 63, 0, 1), (n + 3, [float("nan")] * 64, 0, 1), (n + 4, [1.0] * 3, 0, 1), (None, [1.0] * 64, 0, 1), (n + 5, [], 0, 1)]
-    got = collect(embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, code int"), chunk=20), "vec_id")
+    rows += [(n, None, 0, 1), (n + 1, [0.0] * 64, 0, 1), (n + 2, [None] + [1.0] * 63, 0, 1), (n + 3, [float("nan")] * 64, 0, 1), (n + 4, [1.0, 0.0], 0, 1), (None, [1.0] * 64, 0, 1), (n + 5, [], 0, 1)]
+    rows += [(n + 6, [1.0, 2.0, 3.0], 0, 1), (n + 7, [2.0, 4.0, 6.0], 0, 1), (n + 8, [3.0, -2.0, 1.0], 0, 1)]
+    assert part_width(n, bucket) == width
+    got = collect(embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, code int"), chunk=20, bucket=bucket), "vec_id")
     u = np.array(v)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
     want = near.sum(axis=1)
     links = np.array([got[i][0]["n_links"] for i in range(n)])
-    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() > 900
+    assert (links <= want).all() and links.sum() >= (0.9 if width < 24 else 0.8) * want.sum() > 900
+    whole = brute_components(list(range(n)), lambda i, j: near[i, j])
     for i in range(n):
         r = got[i][0]
-        assert r["component_id"] <= i and r["kept"] == (r["component_id"] == i)
-    assert all((got[k][0]["n_links"], got[k][0]["component_id"]) == (0, k) for k in range(n, n + 6))
+        assert whole[i] <= r["component_id"] <= i and r["kept"] == (r["component_id"] == i)
+        assert (links != want).any() or r["component_id"] == whole[i]
+    assert all((got[k][0]["n_links"], got[k][0]["component_id"]) == (0, k) for k in [*range(n, n + 6), n + 8])
+    assert [(got[k][0]["n_links"], got[k][0]["component_id"]) for k in (n + 6, n + 7)] == [(1, n + 6)] * 2
     assert embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
