@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.prefixes import Prefixes
 from .functions.scalars import min_max, short_iri, to_double, to_long, value_type
 from .model import DOUBLE, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, Graph
-from .operators import community, filters, ingest, labels, layout, profile, resolver, scores, traverse
+from .operators import community, filters, ingest, labels, profile, resolver, scores, traverse
 from .operators.filters import FilterKind, PredicateFilter
 from .operators.table import TypeTable, degree_counts
 from .operators.view import View, auto_start, describe
@@ -411,7 +411,10 @@ def node_labels(spark, sf):
     return labels.node_labels(lift(spark, sf, "nation", "region"))
 
 
-@_query("SELECT 'tpch:Region' AS type, 3 AS priority UNION ALL SELECT 'tpch:Nation', 2 UNION ALL SELECT 'tpch:Customer', 1 UNION ALL SELECT 'tpch:Order', 0")
+@_query(
+    "SELECT type, CAST(row_number() OVER (ORDER BY n DESC, type) - 1 AS INTEGER) AS priority FROM (SELECT 'tpch:Region' AS type, count(*) AS n FROM region UNION ALL SELECT 'tpch:Nation', count(*) FROM nation "
+    "UNION ALL SELECT 'tpch:Customer', count(*) FROM customer UNION ALL SELECT 'tpch:Order', count(*) FROM orders)"
+)
 def type_priority(spark, sf):
     """[P-05, W-05]"""
     return labels.type_priority(lift(spark, sf, "orders", "customer", "nation", "region"))
@@ -760,8 +763,7 @@ def g_louvain(spark, sf):
 def g_spectral(spark, sf):
     """[M-09]"""
     v = _view(spark, sf)
-    n = v.nodes.where("iri not like 'tpch:customer/%'")
-    return community.spectral(n, View(v.graph, n).edges())
+    return community.spectral(v.nodes, v.edges())
 
 
 @_query()
@@ -771,20 +773,6 @@ def g_zoom_layers(spark, sf):
     return scores.zoom_layers(scores.degree(v.nodes, v.edges()))
 
 
-@_query()
-def layout_circular(spark, sf):
-    """[L-03]"""
-    v = _view(spark, sf)
-    return layout.circular(v.nodes, v.edges())
-
-
-@_query()
-def layout_multipartite(spark, sf):
-    """[L-06]"""
-    v = _view(spark, sf)
-    return layout.multipartite(v.nodes, v.graph.types)
-
-
 # --- ingest and export -----------------------------------------------------------------------------
 
 
@@ -815,12 +803,12 @@ def ing_triple_count(spark, sf):
     return ingest.triple_count(_triples(spark, sf))
 
 
-@_query("SELECT 'o/' || l_orderkey AS src, 'items' AS pred, 'p/' || l_partkey AS dst FROM lineitem WHERE l_orderkey < 500")
+@_query("SELECT 'o/' || l_orderkey AS src, 'items' AS pred, 'p/' || l_partkey AS dst FROM lineitem")
 def ing_lists(spark, sf):
     """The items of orders as RDF lists. [N-12]"""
     from pyspark.sql import Window
 
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey < 500")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     at = li.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
     cell = lambda i: F.concat(F.lit("cell/"), F.col("l_orderkey").cast("string"), F.lit("/"), i.cast("string"))

@@ -9,7 +9,7 @@ from .catalog import C, D2, N, R, _by_source, _query, _some, _view, _V
 from .functions import scalars
 from .functions.prefixes import DEFAULTS, Prefixes
 from .model import LABEL, RDF_TYPE, Graph
-from .operators import filters, ingest, labels, layout, profile, resolver, table, view
+from .operators import filters, ingest, labels, layout, profile, resolver, scores, table, traverse, view
 from .operators.table import TypeTable
 from .plans import visual_query as vq
 from .plans.staging import shared_path
@@ -429,6 +429,65 @@ def positions_next(spark, sf):
     return view.next_in_direction(_positions(spark, sf), "tpch:customer/7", 1, 0)
 
 
+# --- analytics over whole graphs -------------------------------------------------------------------
+
+
+def _whole(spark, sf) -> Graph:
+    """Every order, customer, supplier, nation and region."""
+    return lift(spark, sf, "orders", "customer", "supplier", "nation", "region")
+
+
+@_query(
+    "WITH m AS (SELECT 'tpch:orders/' || o_orderkey AS iri, c_nationkey AS k FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'tpch:customer/' || c_custkey, c_nationkey FROM customer "
+    "UNION ALL SELECT 'tpch:supplier/' || s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'tpch:nation/' || n_nationkey, n_nationkey FROM nation), "
+    "r AS (SELECT iri, n_regionkey AS r FROM m JOIN nation ON n_nationkey = k UNION ALL SELECT 'tpch:region/' || r_regionkey, r_regionkey FROM region) "
+    "SELECT iri, min(iri) OVER (PARTITION BY r) AS component FROM r"
+)
+def graph_components(spark, sf):
+    """Components of the whole graph: one for each region. [G-31]"""
+    g = _whole(spark, sf)
+    return traverse.connected_components(g.nodes.select("iri"), g.edges)
+
+
+@_query()
+def graph_page_rank(spark, sf):
+    """Until the ranks stand still; a test compares a small graph with a plain power iteration. [M-06]"""
+    g = _whole(spark, sf)
+    return scores.page_rank(g.nodes.select("iri"), g.edges)
+
+
+@_query()
+def graph_eigenvector(spark, sf):
+    """Until the scores stand still, as above. [M-05]"""
+    g = _whole(spark, sf)
+    return scores.eigenvector(g.nodes.select("iri"), g.edges)
+
+
+_RING = "e AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, (7 * n_nationkey + 3) % 25 FROM nation UNION ALL SELECT 0, 1), u AS (SELECT a, b, count(*) AS w FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a <> b GROUP BY a, b)"
+
+
+@_query(
+    f"WITH RECURSIVE {_RING}, walk AS (SELECT n_nationkey AS s, n_nationkey AS t, 0 AS d, CAST(1 AS BIGINT) AS paths FROM nation UNION ALL SELECT s, b, d + 1, sum(paths * w)::BIGINT FROM walk JOIN u ON a = t WHERE d < 6 GROUP BY s, b, d), "
+    "m AS (SELECT s, t, min(d) AS d, arg_min(paths, d)::DOUBLE AS paths FROM (SELECT s, t, d, sum(paths) AS paths FROM walk GROUP BY ALL) GROUP BY s, t) "
+    "SELECT 'n/' || v.n_nationkey AS iri, round(coalesce(sum(x.paths * y.paths / z.paths), 0), 6) AS value FROM nation v LEFT JOIN (m x JOIN m y ON x.t = y.s JOIN m z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d) ON x.t = v.n_nationkey AND x.s <> x.t AND y.t <> y.s GROUP BY v.n_nationkey"
+)
+def graph_betweenness(spark, sf):
+    """A ring with chords and a double edge, where many shortest paths run side by side; by joins. [M-02]"""
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("a"))
+    both = n.select("a", ((F.col("a") + 1) % 25).alias("b")).unionByName(n.select("a", ((7 * F.col("a") + 3) % 25).alias("b"))).unionByName(n.where("a = 0").select("a", F.lit(1).alias("b")))
+    name = lambda c: F.concat(F.lit("n/"), F.col(c).cast("string"))
+    found = scores.betweenness_by_joins(n.select(name("a").alias("iri")), both.select(name("a").alias("src"), name("b").alias("dst")))
+    return found.select("iri", F.round("value", 6).alias("value"))
+
+
+@_query(_V + ", x AS (SELECT c.iri AS src, r.dst AS dst FROM (SELECT src AS iri, dst FROM ve WHERE src LIKE 'tpch:customer/%') c JOIN ve r ON r.src = c.dst), p AS (SELECT a.src AS a, b.src AS b FROM x a JOIN x b ON a.dst = b.dst WHERE a.src < b.src) SELECT a, b FROM p")
+def view_contract_chain(spark, sf):
+    """Nations and regions go: customers of a region are tied to each other through both. [G-17]"""
+    v = _view(spark, sf)
+    e = v.contract(v.nodes.where("iri like 'tpch:nation/%' or iri like 'tpch:region/%'")).edges()
+    return e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+
+
 # --- layouts: the edges of _view tie every node to its region, by name the least of a component ------
 
 _PART = (

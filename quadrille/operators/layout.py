@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .community import laplacian
+from .community import least_vectors
 from .traverse import connected_components
 
 
@@ -49,39 +49,77 @@ def multipartite(nodes: DataFrame, types: DataFrame, gap: float = 50.0, columns:
     return one.select("iri", ((F.dense_rank().over(Window.orderBy("type")) - 1) * columns).alias("x"), (place * gap).alias("y"))
 
 
-def hierarchical(nodes: DataFrame, edges: DataFrame, gap: float = 50.0, level: float = 150.0, most: int = 1000) -> DataFrame:
-    """Layers by the longest path to a node, at most as many as there are nodes in a cycle. [L-04]"""
-    from ..plans.staging import cut
+def layers_local(names: list[str], links: set[tuple[str, str]]) -> dict[str, int]:
+    """The longest path to each node; an edge that closes a cycle, seen depth first from the least names, does not count."""
+    after: dict[str, list[str]] = {x: [] for x in names}
+    for a, b in sorted(links):
+        after[a].append(b)
+    state: dict[str, int] = {}
+    order: list[str] = []
+    good: list[tuple[str, str]] = []
+    entered = {b for _, b in links}
+    for root in sorted(names, key=lambda x: (x in entered, x)):  # sources first
+        if root in state:
+            continue
+        state[root] = 1
+        stack = [(root, iter(after[root]))]
+        while stack:
+            at, rest = stack[-1]
+            for b in rest:
+                if state.get(b) != 1:
+                    good.append((at, b))
+                if b not in state:
+                    state[b] = 1
+                    stack.append((b, iter(after[b])))
+                    break
+            else:
+                state[at] = 2
+                order.append(at)
+                stack.pop()
+    into: dict[str, list[str]] = {x: [] for x in names}
+    for a, b in good:
+        into[b].append(a)
+    layer: dict[str, int] = {}
+    for x in reversed(order):
+        layer[x] = max((layer[a] + 1 for a in into[x]), default=0)
+    return layer
+
+
+def _one_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of a view, whose nodes MAX_VISIBLE bounds, as one group: (src, dst), and (iri, null) for each node."""
+    rows = nodes.select(F.col("iri").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst").distinct())
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all")
+
+
+def hierarchical(nodes: DataFrame, edges: DataFrame, gap: float = 50.0, level: float = 150.0) -> DataFrame:
+    """Layers by the longest path to a node; edges that close a cycle do not count. [L-04]"""
 
-    links = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    state, bound = cut(nodes.select("iri", F.lit(0).alias("layer"))), min(most, nodes.count())
-    for _ in range(bound):
-        low = links.join(state.select(F.col("iri").alias("src"), "layer"), "src").groupBy(F.col("dst").alias("iri")).agg((F.max("layer") + 1).alias("below"))
-        new = cut(state.join(low, "iri", "left").select("iri", F.col("layer").alias("old"), F.least(F.lit(bound), F.greatest("layer", F.coalesce("below", F.lit(0)))).alias("layer")))
-        if new.where("old <> layer").isEmpty():
-            break
-        state = new.select("iri", "layer")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["src"]) | set(pdf["dst"].dropna()))
+        found = layers_local(names, {(a, b) for a, b in zip(pdf["src"], pdf["dst"]) if isinstance(b, str) and a != b})
+        return pd.DataFrame({"iri": names, "layer": [found[x] for x in names]})
+
+    state = _one_view(nodes, edges).applyInPandas(run, "iri string, layer int")
     place = F.row_number().over(Window.partitionBy("layer").orderBy("iri")) - (F.count("*").over(Window.partitionBy("layer")) + 1) / 2
     return state.select("iri", (place * gap).alias("x"), (F.col("layer") * level).alias("y"))
 
 
-def spectral(nodes: DataFrame, edges: DataFrame, size: float = 800.0, most: int = 4000) -> DataFrame:
+def spectral(nodes: DataFrame, edges: DataFrame, size: float = 800.0) -> DataFrame:
     """By the first two eigenvectors of the Laplacian whose values are not 0. [L-07]"""
-    if nodes.count() > most:
-        raise ValueError(f"the spectral layout takes at most {most} nodes")
-    rows = nodes.select(F.col("iri").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst"))
+    parts = connected_components(nodes, edges).select("component").distinct().count()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"].dropna()))
         at = {x: i for i, x in enumerate(names)}
-        values, vectors = np.linalg.eigh(laplacian(len(names), [(at[a], at[b]) for a, b in zip(pdf["src"], pdf["dst"]) if isinstance(b, str)]))
+        # as many values are 0 as the view has components
+        values, vectors = least_vectors(len(names), [(at[a], at[b]) for a, b in zip(pdf["src"], pdf["dst"]) if isinstance(b, str)], min(len(names), parts + 2))
         good = [i for i in np.argsort(values, kind="stable") if values[i] > 1e-9][:2]
         xy = np.zeros((len(names), 2))
         for k, i in enumerate(good):
             xy[:, k] = vectors[:, i] / max(1e-12, np.abs(vectors[:, i]).max()) * size
         return pd.DataFrame({"iri": names, "x": xy[:, 0], "y": xy[:, 1]})
 
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "iri string, x double, y double")
+    return _one_view(nodes, edges).applyInPandas(run, "iri string, x double, y double")
 
 
 def force_step(positions: DataFrame, edges: DataFrame, temperature: float, repulsion: float = 30_000.0, cutoff: float = 600.0, attraction: float = 1e-3, damping: float = 0.4) -> DataFrame:

@@ -99,10 +99,10 @@ def k_core(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = new.select("iri", "k")
 
 
-def _adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], dict[int, list[int]]]:
-    n = edges.count()
-    if n > MOST_SENT:
-        raise ValueError(f"{n} edges: over {MOST_SENT} use the form by joins")
+def _adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], dict[int, list[int]]] | None:
+    """Names and neighbours by number, if the edges are few enough to be sent to every task."""
+    if edges.count() > MOST_SENT or nodes.count() > MOST_SENT:
+        return None
     names = [r[0] for r in nodes.select("iri").distinct().orderBy("iri").collect()]
     at = {x: i for i, x in enumerate(names)}
     near: dict[int, list[int]] = {i: [] for i in range(len(names))}
@@ -132,9 +132,11 @@ def _levels(near: dict[int, list[int]], s: int):
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(iri, value): shortest paths through a node, over ordered pairs of ends; repeated edges are paths of
-    their own. [M-02]  Sources are dealt to tasks, each of which holds the view's bounded adjacency."""
-    spark = nodes.sparkSession
-    names, near = _adjacency(nodes, edges)
+    their own. [M-02]  Sources are dealt to tasks, each of which holds the adjacency if it has at most MOST_SENT edges."""
+    spark, small = nodes.sparkSession, _adjacency(nodes, edges)
+    if small is None:
+        return betweenness_by_joins(nodes, edges)
+    names, near = small
     shared = spark.sparkContext.broadcast(near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,9 +158,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(iri, value): nodes reached by the sum of distances to them, without the node itself; 0 alone. [M-03]"""
-    spark = nodes.sparkSession
-    names, near = _adjacency(nodes, edges)
-    shared = spark.sparkContext.broadcast((names, near))
+    spark, small = nodes.sparkSession, _adjacency(nodes, edges)
+    if small is None:
+        return closeness_by_joins(nodes, edges)
+    shared = spark.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, near = shared.value
@@ -166,21 +169,43 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             got = [_levels(near, s)[1] for s in pdf["id"]]
             yield pd.DataFrame({"iri": [names[s] for s in pdf["id"]], "value": [(len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0 for d in got]})
 
-    return spark.range(len(names)).mapInPandas(run, "iri string, value double")
+    return spark.range(len(small[0])).mapInPandas(run, "iri string, value double")
 
 
-def closeness_by_joins(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """The same for views of any size: a breadth-first search from all nodes at once."""
-    from .traverse import both_ways
-
-    links = cut(both_ways(edges))
-    front = nodes.select(F.col("iri").alias("s"), F.col("iri").alias("v"), F.lit(0).alias("d"))
-    seen = cut(front)
-    for d in range(1, most):
-        new = cut(seen.where(F.col("d") == d - 1).join(links, F.col("v") == F.col("a")).select("s", F.col("b").alias("v")).distinct().join(seen, ["s", "v"], "left_anti").withColumn("d", F.lit(d)))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
+def _searched(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """A breadth-first search from all nodes at once: links (a, b, w), states (s, v, d, paths), and the greatest distance."""
+    links = cut(ends(edges).where("a <> b").join(nodes.select(F.col("iri").alias("a")), "a", "left_semi").join(nodes.select(F.col("iri").alias("b")), "b", "left_semi").groupBy("a", "b").agg(F.count("*").alias("w")))
+    front = nodes.select(F.col("iri").alias("s"), F.col("iri").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
+    seen, d = cut(front), 0
+    front = seen
+    while True:
+        found = front.join(links, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum(F.col("paths") * F.col("w")).alias("paths"))
+        front = cut(found.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d + 1).alias("d"), "paths"))
+        if front.isEmpty():
+            return links, seen, d
+        seen, d = cut(seen.unionByName(front)), d + 1
+
+
+def betweenness_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for views of any size: shares go back from the farthest nodes, a distance a round."""
+    links, seen, far = _searched(nodes, edges)
+    share = seen.where(F.col("d") == far).select("s", "v", "paths", F.lit(0.0).alias("share"))
+    total = share
+    for d in range(far - 1, 0, -1):
+        given = (
+            share.join(links, F.col("v") == F.col("b"))
+            .select("s", F.col("a").alias("v"), ((1 + F.col("share")) / F.col("paths") * F.col("w")).alias("x"))
+            .groupBy("s", "v").agg(F.sum("x").alias("x"))
+        )
+        share = cut(seen.where(F.col("d") == d).join(given, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")))
+        total = total.unionByName(share)
+    sums = total.groupBy(F.col("v").alias("iri")).agg(F.sum("share").alias("value"))
+    return nodes.select("iri").join(sums, "iri", "left").select("iri", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def closeness_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for views of any size."""
+    _, seen, _ = _searched(nodes, edges)
     return seen.groupBy(F.col("s").alias("iri")).agg(F.when(F.sum("d") > 0, (F.count("*") - 1) / F.sum("d")).otherwise(0.0).alias("value"))
 
 

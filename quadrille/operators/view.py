@@ -106,7 +106,25 @@ class View:
     def contract(self, gone: DataFrame) -> View:
         """Hide nodes but keep what they joined: for a hidden v, a -> v -> b becomes a -> b with the first edge's
         predicate; if v has edges of one direction only, their ends are joined.  New edges go once for
-        each unordered pair, by the least predicate.  Hidden nodes that are neighbours are not chained. [G-17]"""
+        each unordered pair, by the least predicate. [G-17]
+
+        Of hidden nodes that are neighbours those go first whose hash is less than their neighbours'; the next see the
+        edges that these leave.  The rounds grow with the logarithm of the longest chain."""
+        from ..plans.staging import cut
+
+        view, left = self, cut(gone.select("iri").distinct())
+        rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        while True:
+            e = view.edges().where("src <> dst")
+            inner = e.join(left.withColumnRenamed("iri", "src"), "src", "left_semi").join(left.withColumnRenamed("iri", "dst"), "dst", "left_semi")
+            later = cut(inner.select(F.when(rank("src") > rank("dst"), F.col("src")).otherwise(F.col("dst")).alias("iri")).distinct())
+            if later.isEmpty():
+                return view._contract_apart(left)
+            view = view._contract_apart(left.join(later, "iri", "left_anti"))
+            view, left = replace(view, nodes=cut(view.nodes), own_edges=cut(view.own_edges)), later
+
+    def _contract_apart(self, gone: DataFrame) -> View:
+        """contract() of nodes that are not neighbours."""
         gone = gone.select("iri").distinct()
         e = self.edges()
         left = self.remove(gone)
@@ -170,6 +188,31 @@ class View:
         return self.edges().withColumn("place", F.row_number().over(pair.orderBy("seq", "pred", "src")) - 1).withColumn("of", F.count("*").over(pair))
 
 
+class History:
+    """Views one after another, which are immutable, so nothing is undone but the choice among them. [G-26]"""
+
+    def __init__(self, view: View):
+        self.views, self.at = [view], 0
+
+    @property
+    def now(self) -> View:
+        return self.views[self.at]
+
+    def do(self, view: View) -> View:
+        """A new view; what was undone before is forgotten."""
+        self.views[self.at + 1 :] = [view]
+        self.at += 1
+        return view
+
+    def undo(self) -> View:
+        self.at = max(0, self.at - 1)
+        return self.now
+
+    def redo(self) -> View:
+        self.at = min(len(self.views) - 1, self.at + 1)
+        return self.now
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(iri, degree): references in and out; 0 for a node that is only mentioned. [O-13]"""
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("iri")).groupBy("iri").agg(F.count("*").alias("_n"))

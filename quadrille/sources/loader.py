@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefixes import Prefixes
-from ..functions.scalars import file_hash, percent_encode, slugify
+from ..functions.scalars import file_hash, form_encode, percent_encode, slugify
 from ..model import EDGES, NODE_TYPES, NODES, PROPERTIES, RDF_TYPE, TRIPLES, Graph
 from ..operators.ingest import build_graph
 from . import parsers
@@ -238,8 +238,19 @@ def describe_query(iri: str, most: int = 500) -> str:
     return f"CONSTRUCT {{ <{iri}> ?p ?o . ?s ?q <{iri}> }} WHERE {{ {{ <{iri}> ?p ?o }} UNION {{ ?s ?q <{iri}> }} }} LIMIT {most}"
 
 
+def endpoint(url: str, timeout: float = 30.0):
+    """A function that posts a query to an endpoint as a form and returns the Turtle that it answers. [S-13, X-17]"""
+
+    def ask(query: str) -> str:
+        asked = urllib.request.Request(url, form_encode({"query": query}).encode(), {"Accept": ACCEPT["ttl"], "Content-Type": "application/x-www-form-urlencoded"})
+        with urllib.request.urlopen(asked, timeout=timeout) as r:  # noqa: S310
+            return r.read().decode()
+
+    return ask
+
+
 class DescribeAdapter:
-    """Fetches a node that is only mentioned.  ask: a function from query text to Turtle. [S-13, N-15]"""
+    """Fetches a node that is only mentioned.  ask: a function from query text to Turtle, as of endpoint(). [S-13, N-15]"""
 
     def __init__(self, ask):
         self.ask = ask

@@ -7,7 +7,7 @@ from quadrille.functions import scalars
 from quadrille.functions.prefixes import Prefixes
 from quadrille.model import EDGES, NODE_TYPES, NODES, PROPERTIES, RDF_FIRST, RDF_NIL, RDF_REST, Graph, empty_graph
 from quadrille.operators import community, ingest, labels, layout, scores, traverse
-from quadrille.operators.view import View
+from quadrille.operators.view import History, View
 from quadrille.plans.visual_query import TableQuery
 from quadrille.sources import loader, parsers, sinks
 from quadrille.streaming.ingest import follow_ntriples
@@ -37,6 +37,45 @@ def test_closeness_both_ways(spark):
     assert values(scores.closeness(*g)) == values(scores.closeness_by_joins(*g)) == [round(2 / 3, 6), 1, round(2 / 3, 6), 1, 1, 0]
 
 
+def test_large_views_go_by_joins(spark, monkeypatch):
+    pairs = [(0, 1), (1, 3), (0, 2), (3, 4), (2, 3), (3, 4), (4, 4), (5, 6)]
+    small = [values(f(*graph(spark, 8, pairs))) for f in (scores.betweenness, scores.closeness)]
+    monkeypatch.setattr(scores, "MOST_SENT", 3)
+    assert [values(f(*graph(spark, 8, pairs))) for f in (scores.betweenness, scores.closeness)] == small
+
+
+def test_page_rank_and_eigenvector_of_a_graph_with_cycles(spark):
+    pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 3), (4, 0), (4, 0), (1, 5)]
+    n, rank, score = 6, [1 / 6] * 6, [1.0] * 6
+    for _ in range(300):
+        out = [sum(a == i for a, _ in pairs) for i in range(n)]
+        lost = sum(r for r, o in zip(rank, out) if not o)
+        rank = [0.15 / n + 0.85 * (sum(rank[a] / out[a] for a, b in pairs if b == i) + lost / n) for i in range(n)]
+        score = [sum(score[b] for a, b in pairs if a == i) + sum(score[a] for a, b in pairs if b == i) for i in range(n)]
+        norm = sum(x * x for x in score) ** 0.5
+        score = [x / norm for x in score]
+    for found, want in ((scores.page_rank(*graph(spark, n, pairs)), rank), (scores.eigenvector(*graph(spark, n, pairs)), score)):
+        assert max(abs(a - b) for a, b in zip(values(found), want)) < 1e-4
+
+
+def test_least_vectors_without_a_dense_matrix(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    pairs = [(i, i + 1) for i in range(0, 299) if i != 149] + [tuple(x) for x in rng.integers(0, 150, (80, 2)).tolist()] + [(149, 150)]
+    values_, vectors = community.least_vectors(300, pairs, 3)
+    monkeypatch.setattr(community, "DENSE", 100)
+    more, found = community.least_vectors(300, pairs, 3)
+    assert np.allclose(values_, more, atol=1e-5) and abs(vectors[:, 1] @ found[:, 1]) > 0.999
+
+
+def test_long_chains_and_cycles_have_layers(spark):
+    nodes, edges = graph(spark, 1500, [(i, i + 1) for i in range(1499)])
+    assert layout.hierarchical(nodes, edges).agg(F.max("y")).first()[0] == 1499 * 150.0
+    nodes, edges = graph(spark, 4, [(0, 1), (1, 2), (2, 0), (2, 3)])
+    assert [r["y"] for r in layout.hierarchical(nodes, edges).orderBy("iri").collect()] == [0.0, 150.0, 300.0, 450.0]
+
+
 def test_modularity_and_gain(spark):
     nodes, edges = graph(spark, 6, [(0, 2), (0, 1), (2, 3), (3, 4), (3, 5), (4, 5)])
     apart = nodes.select("iri", F.when(F.col("iri") == "1", "0").otherwise(F.col("iri")).alias("cluster"))
@@ -113,6 +152,42 @@ def test_view_algebra(spark):
     assert {(r["src"], r["dst"]) for r in gone.edges().collect()} == {("0", "2"), ("0", "12")}
 
 
+def test_contraction_of_neighbours_and_history(spark):
+    edges = spark.createDataFrame([(a, p, b, 0) for a, p, b in (("a", "p", "v"), ("v", "q", "w"), ("w", "r", "b"), ("c", "s", "w"))], EDGES)
+    some = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
+    v = View(empty_graph(spark).with_(edges=edges), some("a", "b", "c", "v", "w"))
+    past = History(v)
+    now = past.do(v.contract(some("v", "w")))
+    assert {(r["src"], r["pred"], r["dst"]) for r in now.edges().collect()} == {("a", "p", "b"), ("c", "s", "b")}
+    assert past.undo() is v and past.undo() is v and past.redo() is now and past.redo() is now
+    past.undo()
+    assert past.do(v.clear()) is past.now and len(past.views) == 2
+
+
+def test_describe_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.headers["Accept"], self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'<http://e/a> <http://e/p> "x" ; <http://e/r> <http://e/b> .')
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    g = loader.DescribeAdapter(loader.endpoint(f"http://127.0.0.1:{server.server_port}/sparql")).load(spark, "http://e/a")
+    server.shutdown()
+    assert (g.properties.count(), g.edges.count()) == (1, 1)
+    assert asked[0][0] == "text/turtle" and asked[0][1].startswith("query=CONSTRUCT") and "http%3A%2F%2Fe%2Fa" in asked[0][1]
+
+
 TURTLE = """@prefix ex: <http://ex.org/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#>
 # a comment
