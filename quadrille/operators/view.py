@@ -139,7 +139,11 @@ class View:
         made = made.join(left.nodes.select(F.col("iri").alias("src")), "src", "left_semi").join(left.nodes.select(F.col("iri").alias("dst")), "dst", "left_semi")
         pair = [F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi")]
         one = made.groupBy(*pair).agg(F.min(F.struct("pred", "src", "dst")).alias("e")).select("e.src", "e.pred", "e.dst", F.lit(None).cast("long").alias("seq"))
-        return replace(left, own_edges=left.edges(True).unionByName(one))
+        # what an earlier contraction tied is not tied again
+        kept = left.edges(True)
+        tied = kept.where("seq is null").select(*pair).distinct()
+        new = one.select("*", *pair).join(tied, ["_lo", "_hi"], "left_anti").select("src", "pred", "dst", "seq")
+        return replace(left, own_edges=kept.unionByName(new))
 
     def clear(self) -> View:
         return replace(self, nodes=self.nodes.limit(0))  # [G-18]

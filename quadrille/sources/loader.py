@@ -25,17 +25,17 @@ _COLUMNS = [c.split()[0] for c in TRIPLES.split(", ")]
 _FILE, _BLOCK = 1 << 40, 10_000
 
 
-def _parse(kind: str, path: str, text: str, prefixes: Prefixes) -> Iterator[tuple]:
-    """Rows of TRIPLES of one file, with compacted IRIs.  A mistake is told and left out: in Turtle and TriG the rest of
+def _parse(kind: str, path: str, text: str, prefixes: Prefixes, several: bool = False) -> Iterator[tuple]:
+    """Rows of TRIPLES of one file, with compacted IRIs.  Blank nodes are named by the file's path, nodes of JSON and XML by its
+    name, and by its path if it is one of several, whose names may be equal.  A mistake is told and left out: in Turtle and TriG the rest of
     its statement, in N-Triples its line; of the other formats what stands before it is kept."""
-    name = path.rsplit("/", 1)[-1]
-    hash_ = file_hash(name)
+    hash_, blank = file_hash(path if several else path.rsplit("/", 1)[-1]), file_hash(path)
     mistakes: list[str] = []
     if kind in ("ttl", "trig"):  # the document's own prefixes are known before its first triple
         for p, base in _declared(text):
             prefixes.add(p, base)
     short = prefixes.compact_text
-    node = lambda t: f"_:{name}:{t[1]}" if t[0] == "blank" else short(t[1])
+    node = lambda t: f"_:{blank}:{t[1]}" if t[0] == "blank" else short(t[1])
     try:
         if kind in ("ttl", "trig"):
             got = parsers.turtle(text, mistakes=mistakes)
@@ -58,14 +58,14 @@ def _parse(kind: str, path: str, text: str, prefixes: Prefixes) -> Iterator[tupl
         print(f"{path}: {len(mistakes)} mistakes, the first: {mistakes[0]}")
 
 
-def _parsed(files: DataFrame, kind: str, prefixes: dict[str, str] | None) -> DataFrame:
+def _parsed(files: DataFrame, kind: str, prefixes: dict[str, str] | None, several: bool) -> DataFrame:
     """files: (path, text).  A file a task; seq is the file's number, in order of paths, and the triple's within it."""
     more = dict(prefixes or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, text in zip(pdf["path"], pdf["text"]):
-                rows = _parse(kind, name, text, Prefixes(more))
+                rows = _parse(kind, name, text, Prefixes(more), several)
                 while block := list(itertools.islice(rows, _BLOCK)):
                     out = pd.DataFrame(block, columns=_COLUMNS)
                     out["path"] = name
@@ -96,7 +96,7 @@ def read_triples(spark: SparkSession, path: str, kind: str | None = None, prefix
         return csv_triples(spark, path)
     if kind == "ndjson":
         return ndjson_triples(spark, path)
-    return _parsed(_whole(spark.read, path), kind, prefixes)
+    return _parsed(_whole(spark.read, path), kind, prefixes, not path.lower().endswith(f".{kind}") or any(c in path for c in "*?[{"))
 
 
 def _whole(reader, path: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _unescape(c):
 def ntriples(spark: SparkSession, path: str | list[str], prefixes: dict[str, str] | None = None) -> DataFrame:
     """N-Triples and N-Quads line by line, by built-in functions; the graph's name is dropped. [S-03, S-05]"""
     p = Prefixes(prefixes)
-    line = spark.read.text(path).select(F.trim("value").alias("l"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("seq")).where(~F.startswith("l", F.lit("#")) & (F.col("l") != ""))
+    line = spark.read.text(path).select(F.trim("value").alias("l"), F.hex(F.xxhash64("_metadata.file_path")).alias("f"), F.monotonically_increasing_id().alias("seq")).where(~F.startswith("l", F.lit("#")) & (F.col("l") != ""))
     pattern = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
     cut = line.where(F.col("l").rlike(pattern)).select("f", "seq", *[F.regexp_extract("l", pattern, i).alias(c) for i, c in ((1, "s"), (2, "p"), (3, "o"))])
     blank = lambda c: F.concat(F.lit("_:"), F.col("f"), F.lit(":"), F.substring(c, F.lit(3), F.length(c)))
@@ -205,7 +205,7 @@ def load_folder(spark: SparkSession, path: str, languages: list[str] | None = No
     for kind in kinds:
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
 
-        got = _parsed(_whole(reader, path), kind, None)
+        got = _parsed(_whole(reader, path), kind, None, True)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], TRIPLES)
