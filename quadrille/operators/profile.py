@@ -33,29 +33,30 @@ def instances_per_type(graph: Graph) -> DataFrame:
     return graph.types.groupBy("type").agg(F.count("*").alias("instances"))
 
 
-def _cardinalities(of: DataFrame, node: str, graph: Graph, extra: list) -> DataFrame:
-    """Counts by (type, pred), with the least and most values that one instance has, zeros included. [A-08, A-10, A-13..A-15]"""
-    per = of.groupBy(F.col(node).alias("iri"), "pred").agg(F.count("*").alias("n"), *extra)
-    joined = per.join(graph.types.select("iri", "type"), "iri")
-    merge = [F.bit_or("value_type").alias("value_types"), F.max("max_len").alias("max_len")] if extra else []
-    seen = joined.groupBy("type", "pred").agg(F.sum("n").alias("count"), F.min("n").alias("_least"), F.max("n").alias("max_cardinality"), F.count("*").alias("_carriers"), *merge)
-    all_ = F.broadcast(instances_per_type(graph))
+def _by_type(per: DataFrame, graph: Graph, merge: list) -> DataFrame:
+    """per: (type, pred, n), a row for each instance that has values.  The least and most values that one instance has, zeros included."""
+    seen = per.groupBy("type", "pred").agg(F.sum("n").alias("count"), F.min("n").alias("_least"), F.max("n").alias("max_cardinality"), F.count("*").alias("_carriers"), *merge)
+    all_ = F.broadcast(instances_per_type(graph))  # a row a type
     return seen.join(all_, "type").withColumn("min_cardinality", F.when(F.col("_carriers") < F.col("instances"), F.lit(0)).otherwise(F.col("_least"))).drop("_least", "_carriers", "instances")
 
 
 def property_profile(graph: Graph) -> DataFrame:
     """(type, pred, count, max_cardinality, value_types, max_len, min_cardinality). [A-08..A-12]"""
-    extra = [F.bit_or("value_type").alias("value_type"), F.max(F.octet_length("value")).alias("max_len")]
-    return _cardinalities(graph.properties, "iri", graph, [extra[0], extra[1]])
+    per = graph.properties.groupBy("iri", "pred").agg(F.count("*").alias("n"), F.bit_or("value_type").alias("value_type"), F.max(F.octet_length("value")).alias("max_len"))
+    return _by_type(per.join(graph.types.select("iri", "type"), "iri"), graph, [F.bit_or("value_type").alias("value_types"), F.max("max_len").alias("max_len")])
 
 
 def reference_profile(graph: Graph, incoming: bool = False) -> DataFrame:
-    """(type, pred, count, max_cardinality, min_cardinality, target_types), of outgoing or incoming references. [A-13..A-16]"""
+    """(type, pred, count, max_cardinality, min_cardinality, target_types), of outgoing or incoming references. [A-13..A-16]
+
+    Edges are dealt once, by the near end: the counts go on from there, and both uses read the same columns, so they share
+    the shuffle.  What is joined to the types of the far ends is one row for each (type, pred, far end)."""
     near, far = ("dst", "src") if incoming else ("src", "dst")
-    counts = _cardinalities(graph.edges, near, graph, [])
-    own, other = graph.types.select(F.col("iri").alias(near), "type"), graph.types.select(F.col("iri").alias(far), F.col("type").alias("target"))
+    typed = graph.edges.select("src", "pred", "dst").join(graph.types.select(F.col("iri").alias(near), "type"), near)
+    counts = _by_type(typed.groupBy(near, "type", "pred").agg(F.count(far).alias("n")), graph, [])
+    other = graph.types.select(F.col("iri").alias(far), F.col("type").alias("target"))
     # distinct (type, pred, target) first: few rows reach the lists
-    targets = graph.edges.select("src", "pred", "dst").join(own, near).join(other, far).select("type", "pred", "target").distinct().groupBy("type", "pred").agg(F.sort_array(F.collect_set("target")).alias("target_types"))
+    targets = typed.select("type", "pred", far).distinct().join(other, far).select("type", "pred", "target").distinct().groupBy("type", "pred").agg(F.sort_array(F.collect_set("target")).alias("target_types"))
     return counts.join(targets, ["type", "pred"], "left")
 
 
