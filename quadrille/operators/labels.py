@@ -74,7 +74,7 @@ def set_label_predicate(styles: DataFrame, types: list[str], pred: str) -> DataF
 
 def highest_priority_types(graph: Graph, styles: DataFrame | None = None) -> DataFrame:
     """(iri, type): of each node the types of the highest priority; ties stay. [P-06]"""
-    ranked = graph.types.join(F.broadcast(styles if styles is not None else type_priority(graph)).select("type", "priority"), "type")
+    ranked = graph.types.join(styles if styles is not None else type_priority(graph).select("type", "priority"), "type")
     top = F.rank().over(Window.partitionBy("iri").orderBy(F.desc("priority")))
     return ranked.withColumn("_r", top).where("_r = 1").select("iri", "type")
 
@@ -85,7 +85,7 @@ def node_labels(graph: Graph, styles: DataFrame | None = None, lang: str = DEFAU
     styles = styles if styles is not None else type_styles(graph)
     values = get_property(graph.properties, lang)
     found = (
-        graph.types.join(F.broadcast(styles).select("type", F.col("label_predicate").alias("pred")), "type")
+        graph.types.join(styles.select("type", F.col("label_predicate").alias("pred")), "type")
         .join(values, ["iri", "pred"])
         .groupBy("iri")
         .agg(F.min_by("value", F.struct("type_seq", "type")).alias("value"))
@@ -135,5 +135,5 @@ def node_sheet(graph: Graph, iri: str) -> DataFrame:
 
 def type_labels_of(graph: Graph, display_names: DataFrame) -> DataFrame:
     """(iri, labels): the labels of a node's types, joined. [P-20]"""
-    shown = graph.types.join(F.broadcast(display_names), "type")
+    shown = graph.types.join(display_names, "type")
     return shown.groupBy("iri").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type_seq", "display"))), lambda t: t["display"]), ", ").alias("labels"))

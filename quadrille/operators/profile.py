@@ -36,8 +36,7 @@ def instances_per_type(graph: Graph) -> DataFrame:
 def _by_type(per: DataFrame, graph: Graph, merge: list) -> DataFrame:
     """per: (type, pred, n), a row for each instance that has values.  The least and most values that one instance has, zeros included."""
     seen = per.groupBy("type", "pred").agg(F.sum("n").alias("count"), F.min("n").alias("_least"), F.max("n").alias("max_cardinality"), F.count("*").alias("_carriers"), *merge)
-    all_ = F.broadcast(instances_per_type(graph))  # a row a type
-    return seen.join(all_, "type").withColumn("min_cardinality", F.when(F.col("_carriers") < F.col("instances"), F.lit(0)).otherwise(F.col("_least"))).drop("_least", "_carriers", "instances")
+    return seen.join(instances_per_type(graph), "type").withColumn("min_cardinality", F.when(F.col("_carriers") < F.col("instances"), F.lit(0)).otherwise(F.col("_least"))).drop("_least", "_carriers", "instances")
 
 
 def property_profile(graph: Graph) -> DataFrame:
@@ -76,7 +75,7 @@ def meta_hide_rare(graph: Graph, meta: DataFrame, than: str) -> DataFrame:
     counts = instances_per_type(graph)
     bar = counts.where(F.col("type") == than).select(F.col("instances").alias("bar"))
     keep = counts.crossJoin(F.broadcast(bar)).where("instances > bar").select("type")
-    return meta.join(F.broadcast(keep), "type", "left_semi").join(F.broadcast(keep.withColumnRenamed("type", "target")), "target", "left_semi").select(meta.columns)
+    return meta.join(keep, "type", "left_semi").join(keep.withColumnRenamed("type", "target"), "target", "left_semi").select(meta.columns)
 
 
 def meta_hide(meta: DataFrame, types: list[str], others: bool = False) -> DataFrame:

@@ -29,22 +29,22 @@ def discover_references(graph: Graph) -> DataFrame:
     usable = property_profile(graph).where(F.col("value_types") == SHORT_STRING)
     values = (
         graph.properties.join(graph.types.select("iri", "type"), "iri")
-        .join(F.broadcast(usable.select("type", "pred", "count", "min_cardinality", "max_cardinality")), ["type", "pred"])
+        .join(usable.select("type", "pred", "count", "min_cardinality", "max_cardinality"), ["type", "pred"])
         .select("type", "pred", "value", "count", "min_cardinality", "max_cardinality")
     )
     distinct = values.groupBy("type", "pred", "value").agg(F.first("count").alias("count"), F.first("min_cardinality").alias("lo"), F.first("max_cardinality").alias("hi"))
     size = distinct.groupBy("type", "pred").agg(F.count("*").alias("n"), F.first("count").alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     size = size.withColumn("is_key", (F.col("lo") == 1) & (F.col("hi") == 1) & (F.col("n") == F.col("count")))
     keys, others = size.where("is_key"), size.where(~F.col("is_key"))
-    key_values = distinct.join(F.broadcast(keys.select("type", "pred")), ["type", "pred"]).select(F.col("type").alias("to_type"), F.col("pred").alias("to_pred"), "value")
+    key_values = distinct.join(keys.select("type", "pred"), ["type", "pred"]).select(F.col("type").alias("to_type"), F.col("pred").alias("to_pred"), "value")
     met = (
-        distinct.join(F.broadcast(others.select("type", "pred")), ["type", "pred"])
+        distinct.join(others.select("type", "pred"), ["type", "pred"])
         .join(key_values, "value")
         .groupBy("type", "pred", "to_type", "to_pred")
         .agg(F.count("*").alias("met"))
     )
-    whole = met.join(F.broadcast(others.select("type", "pred", F.col("n").alias("fk_n"))), ["type", "pred"]).where("met = fk_n")
-    whole = whole.join(F.broadcast(keys.select(F.col("type").alias("to_type"), F.col("pred").alias("to_pred"), F.col("n").alias("pk_n"))), ["to_type", "to_pred"])
+    whole = met.join(others.select("type", "pred", F.col("n").alias("fk_n")), ["type", "pred"]).where("met = fk_n")
+    whole = whole.join(keys.select(F.col("type").alias("to_type"), F.col("pred").alias("to_pred"), F.col("n").alias("pk_n")), ["to_type", "to_pred"])
     best = F.row_number().over(Window.partitionBy("type", "pred").orderBy(F.col("pk_n") - F.col("fk_n"), "to_type", "to_pred"))
     return whole.withColumn("_b", best).where("_b = 1").select(F.col("type").alias("from_type"), F.col("pred").alias("from_pred"), "to_type", "to_pred")
 
