@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stage, worker_cache
+from .common import by_bytes, stage, trim, worker_cache
 
 #: Words and parts whose ids a worker remembers; beyond it forgets all and begins anew.
 _REMEMBERED = 600_000
@@ -101,6 +101,7 @@ def pieces(docs: DataFrame, most: int = 4096, end_id: int = 1, id_col: str = "do
                         out.append((id_, k, a // 4, len(own) // 4, zlib.crc32(own)))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -217,6 +218,8 @@ def pack_documents(docs: DataFrame, tokens: int = 4096, documents: int | None =
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
     span = int(table[:, 1].max(initial=0) + table[:, 3].max(initial=0) + 1)
     shared = made.sparkSession.sparkContext.broadcast((by_key, base, table))
+    del counts, before, rows, keys
+    trim()  # the driver goes on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys_, base_, t = shared.value

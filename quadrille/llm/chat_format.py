@@ -36,7 +36,8 @@ def preference_pairs(turns: DataFrame, pair: Column | None = None, rejected: Col
     by side, another takes the first that differ.  A conversation without a partner is paired with
     null and has no prompt.  Null role or text: empty.  Null turn: before all others.  Of turns with one
     number the least (role, text) counts, so repeated rows change nothing.  Rows without a conv_id belong to
-    no conversation and are left out."""
+    no conversation and are left out.  An empty table gives no rows.  A very long conversation is rendered in one
+    row.  Other columns are not read, so their names do not matter."""
     pair = F.floor(F.col("conv_id") / 2) if pair is None else pair
     rejected = F.pmod(F.col("conv_id"), F.lit(2)) == 1 if rejected is None else rejected
     said = turns.where("conv_id is not null").select(

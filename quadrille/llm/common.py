@@ -48,10 +48,21 @@ def _discard_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows that go to a Python worker at a time: texts and packed hashes are long rows.
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows a batch, so that neither side of a Python worker holds much; another setting of the session's stays."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "1000")
+
+
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor
     costs no recomputation.  Returns the table and its path; it goes when the program ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_discard_at_exit, spark, path)
@@ -64,6 +75,7 @@ def release(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -171,7 +183,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix(out)
 
 
-def by_bytes(batch: pa.RecordBatch, name: str, most: int = 2 << 20):
+def by_bytes(batch: pa.RecordBatch, name: str, most: int = 1 << 20):
     """Slices of batch of about so many bytes of text; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, span_hashes, stage, word_spans
+from .common import by_bytes, flat, span_hashes, stage, trim, word_spans
 
 #: Buckets of hashed words; features of a page that come from its layout; buckets of source and language.
 BITS, LAYOUT, NAMED = 18, 10, 64
@@ -170,13 +170,14 @@ def _scores(part: pa.RecordBatch, heads: list[tuple]) -> dict[str, tuple[np.ndar
     return out
 
 
-def threshold(hist: np.ndarray, most_lost: float) -> int:
-    """hist: bad and good rows by step of score.  The first step that is kept: under it lie most bad rows and at most
-    `most_lost` of the good ones; of equally good steps that in the middle.  Without either: 0."""
+def threshold(hist: np.ndarray, most_lost: float, price: float) -> int:
+    """hist: bad and good rows by step of score.  The first step that is kept: under it lie as large a share of bad rows
+    less `price` times that of good ones as can be, and at most `most_lost` of the good ones; of equally good
+    steps that in the middle.  Without either: 0."""
     if not hist.sum(axis=1).all():
         return 0
     bad, good = (np.r_[0, np.cumsum(h)] / h.sum() for h in hist)
-    gain = np.where(good <= most_lost, bad - good, -1.0)
+    gain = np.where(good <= most_lost, bad - price * good, -1.0)
     best = np.flatnonzero(gain == gain.max())
     return int(best[len(best) // 2]) if gain.max() > 0 else 0
 
@@ -186,7 +187,7 @@ _TARGETS = (("quality", 1), ("toxic", 0))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, labelled: int = 9000, exchanged: int = 400, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, most_lost: float = 0.003,
+    docs: DataFrame, labels: DataFrame, labelled: int = 9000, exchanged: int = 400, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, most_lost: float = 0.01, price: float = 10.0,
     penalties: tuple[float, float] = (2e-4, 1e-5), least: float = 12.0, share: float = 0.2,
 ) -> DataFrame:
     """One row for each row of docs: (doc_id, p_quality, p_clean, kept).
@@ -198,7 +199,8 @@ def classify(
     surest, by a calibrated chance of 95 % at least, good and bad in the proportion of the labels, as labels to the
     other view; each counts `share` of a label.  At last every document
     is scored by the sum of both calibrated views.  The thresholds come from a histogram of the scores of all
-    labelled documents that were not fitted: most bad ones, and at most `most_lost` of the good ones, are under them.
+    labelled documents that were not fitted: under them lie most bad ones, a good one counting `price` times as much, and
+    at most `most_lost` of the good ones.
 
     Null text: no words.  Null source or lang: a name of its own.  Without labels of both kinds a target rejects nothing.
     Repeated labels of an id count once, the worst; a label of one target alone counts for that one.  Repeated
@@ -214,9 +216,8 @@ def classify(
     )
     ids = page.select("id").where("id is not null").distinct()
     # at most `labelled` rows of three numbers, of which those of `fitted` are kept out of the thresholds
-    known = ids.join(marks.hint("merge"), "id").orderBy(F.xxhash64("id"), "id").limit(labelled).collect()
-    seed = {r["id"]: r for r in sorted(known, key=lambda r: r["id"]) if r["id"] % 3}
-    held = {r["id"]: r for r in sorted(known, key=lambda r: r["id"]) if not r["id"] % 3}
+    known = ids.join(marks.hint("merge"), "id").orderBy(F.xxhash64("id"), "id").limit(labelled).withColumn("held", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) == 0).collect()
+    seed, held = ({r["id"]: r for r in sorted(known, key=lambda r: r["id"]) if r["held"] == part} for part in (False, True))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,12 +226,13 @@ def classify(
                 words = [x.astype("<u4").tobytes() for x in np.split(bucket, np.searchsorted(row, np.arange(1, len(part))))]
                 meta = [x.astype("<f4").tobytes() for x in metadata_view(part)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["id", "words", "meta"])
+        trim()
 
     def views(of: list[int]) -> tuple[list[int], tuple, np.ndarray]:
         """Ids, and both views, of documents of so many given ids."""
         if not of:
             return [], (np.zeros(0, int), np.zeros(0, int), 0), np.zeros((0, LAYOUT + 2 * NAMED))
-        wanted = spark.createDataFrame([(i,) for i in of], "id long")
+        wanted = spark.createDataFrame(pa.table({"id": pa.array(of, pa.int64())}))
         got = page.join(F.broadcast(wanted), "id").mapInArrow(features, "id long, words binary, meta binary").toArrow().sort_by("id")
         # repeated rows of an id count once
         first = np.r_[True, np.diff(got.column("id").to_numpy()) != 0] if len(got) else np.zeros(0, bool)
@@ -269,6 +271,7 @@ def classify(
             given[name, 1 - k].setdefault(i, good)
         more = views(sorted({i for x in given.values() for i in x}))
         heads = fit()
+        trim()
 
     shared = spark.sparkContext.broadcast([h.packed() for h in heads])
 
@@ -277,10 +280,11 @@ def classify(
             for part in by_bytes(batch, "t"):
                 got = _scores(part, shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(got[name][2] if name in got else np.full(len(part), np.nan), from_pandas=True) for name, _ in _TARGETS]], ["id", "quality", "toxic"])
+        trim()
 
     scored, _ = stage(page.mapInArrow(score, "id long, quality double, toxic double"), "scored")
     step = lambda c: F.floor((F.col(c) + _MOST) / (2 * _MOST) * (_STEPS - 1)).cast("int")
-    fitted = spark.createDataFrame([(i,) for i in seed], "id long")
+    fitted = spark.createDataFrame(pa.table({"id": pa.array(list(seed), pa.int64())}))
     told = scored.join(marks.select("id", F.col("quality").alias("q"), F.col("toxic").alias("x")).hint("merge"), "id").join(F.broadcast(fitted), "id", "left_anti")
     kept = F.lit(True)
     for (name, good), label in zip(_TARGETS, ("q", "x")):
@@ -288,7 +292,9 @@ def classify(
             hist = np.zeros((2, _STEPS))
             for r in told.where(F.col(label).isNotNull()).groupBy(step(name).alias("step"), (F.col(label) == good).cast("int").alias("good")).count().collect():  # two rows a step at most
                 hist[r["good"], r["step"]] = r["count"]
-            kept = kept & (step(name) >= threshold(hist, most_lost))
+            kept = kept & (step(name) >= threshold(hist, most_lost, price))
+    del base, rest, more, heads
+    trim()  # the driver goes on
     chance = lambda c: 1 / (1 + F.exp(-F.col(c)))
     return scored.select(F.col("id").alias("doc_id"), chance("quality").alias("p_quality"), chance("toxic").alias("p_clean"), kept.alias("kept"))
 
@@ -318,6 +324,7 @@ def _surest(page: DataFrame, heads: list[_Head], without: np.ndarray, most: int,
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(lists)), [len(b) for b in best]).astype(np.int32))] + [pa.array(np.concatenate([b[c] for b in best])) for c in _SURE.names], ["list", *_SURE.names]
         )
+        trim()
 
     made, _ = stage(page.mapInArrow(run, "list int, sure double, text long, id long"), "surest")
     different = made.groupBy("list", "text").agg(F.max("sure").alias("sure"), F.min("id").alias("id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, mix, partitions, span_hashes, stage, word_spans
+from .common import by_bytes, flat, mix, partitions, span_hashes, stage, trim, word_spans
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -109,6 +109,7 @@ def ngram_counts(marked: DataFrame, bits: int) -> np.ndarray:
                 total[_RAW] += np.bincount(bucket, minlength=1 << bits)
                 total += np.bincount((kind << bits) | bucket[good], minlength=3 << bits).reshape(total.shape)
         yield from _blocks(total.reshape(-1, block))
+        trim()
 
     def _blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(total.any(axis=1))
@@ -186,6 +187,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for part in by_bytes(batch, "t"):
                 c = base_counts(part.column("t"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c[k].astype(np.int64)) for k in names], pa.array(_score(part.column("t"), shared.value, bits))], ["id", *names, "score"])
+        trim()
 
     kind = dict(texts.dtypes)["id"]
     scored, _ = stage(texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} long" for k in names) + ", score double"), "scores")

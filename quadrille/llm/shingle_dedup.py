@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, mix, release, span_hashes, stage, word_spans
+from .common import by_bytes, flat, mix, release, span_hashes, stage, trim, word_spans
 from .components import components
 from .simhash_dedup import _Forest, fingerprints, linked
 
@@ -70,6 +70,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 at = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_set_hashes(h, first).view(np.int64)), pa.array(n.astype(np.int64)), listed], ["id", "v", "n", "keys"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null").mapInArrow(run, "id long, v long, n long, keys array<long>")
 
@@ -179,6 +180,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those that are not the smallest id of their component; rows without an id stay."""
+    """docs without those that are not the smallest id of their component; rows without an id stay.
+
+    Null and empty texts have equal sets, empty ones, so one of them stays.  Repeated rows of one id stay or go
+    together.  An empty table gives no rows.  All columns of docs stay, whatever their names."""
     drop = similar_components(docs, id_col, text_col, **how).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(drop, id_col, "left_anti")

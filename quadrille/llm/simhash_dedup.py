@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, stage, word_spans
+from .common import by_bytes, flat, stage, trim, word_spans
 from .components import components
 
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     low, high = int(to[a]), int(to[b - 1] + long[b - 1])
                     out.append(_fingerprint(text[low:high], (to[a:b] - low).tolist(), (to[a:b] + long[a:b] - low).tolist(), width))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.array(out, np.uint64).view(np.int64))], ["id", "fp"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
@@ -223,7 +224,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     single row before anything is compared; links and components are found between such vertices.
     Null or empty text: fingerprint zero, linked like any other.  A null id is kept as a row, has its
     fingerprint, and is the smallest of its component only if that holds no other id (then null).
-    Other columns are not read; repeated rows are repeated in the result."""
+    An empty table gives no rows.  A very long text is hashed in blocks of shingles.  A bit set in just half of the
+    shingles is 0.  Ids are integers.  Other columns are not read, so their names do not matter; repeated rows are
+    repeated in the result."""
     made, _ = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct, _ = stage(made.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     links, _ = stage(linked(distinct.select("fp"), radius), "fplinks")
@@ -235,7 +238,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """docs without those that are not the smallest id of their component; null ids stay."""
+    """docs without those that are not the smallest id of their component; null ids stay.  All columns of docs stay,
+    whatever their names."""
     found = simhash_components(docs, radius=radius, width=width)
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")
