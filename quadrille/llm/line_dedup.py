@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from .common import release, stage
 
 
+#: 2**n for a text of twice to under four times as many characters, its `size`.
+_HALF = "shiftleft(1, length(bin(size)) - 2)"
+
+
 def _halves(text: str, before: Column) -> list[tuple[Column, Column, Column]]:
     """(whether, key, rest), four times: a half of the text is cut off at its front or end, and its hash goes
-    on from `before`.
-
-    A half has 2**n characters for a text of twice to under four times as many, so of two texts one edit
-    apart an equal half can be cut off.  A text one short of the next class is cut as in that one too."""
-    long = F.length(text)
-    half = F.expr(f"shiftleft(1, length(bin(length(`{text}`))) - 2)")
-    made = []
-    for m, when in ((half, F.lit(True)), (half * 2, F.bit_count(long + 1) == 1)):
-        front, back = F.substring(text, F.lit(1), m), F.substring(text, long - m + 1, m)
-        made.append((when, F.xxhash64(before, m, F.lit(0), front), F.substring(text, m + 1, long)))
-        made.append((when, F.xxhash64(before, m, F.lit(1), back), F.substring(text, F.lit(1), long - m)))
+    on from `before`.  Columns `size` and `half` are the text's length and _HALF of it.
+
+    Of two texts one edit apart an equal half can be cut off, as long as both cut the same: a text one short of the
+    next class is cut as in that one too."""
+    size, half, made = F.col("size"), F.col("half"), []
+    for m, when in ((half, F.lit(True)), (half * 2, F.bit_count(size + 1) == 1)):
+        front, back = F.substring(text, F.lit(1), m), F.substring(text, size - m + 1, m)
+        made.append((when, F.xxhash64(before, m, F.lit(0), front), F.substring(text, m + 1, size)))
+        made.append((when, F.xxhash64(before, m, F.lit(1), back), F.substring(text, F.lit(1), size - m)))
     return made
 
 
@@ -68,7 +70,7 @@ def _one_edit(hashed: DataFrame, first: DataFrame, most: int, halves: list[str])
     state = sized.select("h", "g", "own", (F.length("line") + F.col("more")).cast("long").alias("pre"), F.col("line").alias("mid"), (F.col("more") == 0).alias("cuts"), (F.col("more") == 1).alias("whole"))
     ends = []
     while True:
-        longer = state.where(F.length("mid") > most)
+        longer = state.where(F.length("mid") > most).withColumn("size", F.length("mid")).withColumn("half", F.expr(_HALF))
         if longer.isEmpty():
             break
         options = F.array(*[F.when(when, F.struct(key.alias("key"), rest.alias("rest"))) for when, key, rest in _halves("mid", F.col("pre"))])
@@ -128,9 +130,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("line <> ''")
     )
     hashed = lines.select("id", "no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), "line")
-    size = F.length("line")
+    size = F.col("size")
     # lines of most + 1 characters are short as well as long: they may be an edit from either
-    keyed = hashed.select(
+    keyed = hashed.withColumn("size", F.length("line")).withColumn("half", F.expr(_HALF)).select(
         "id", "no", "h", "g", F.when((size >= least) & (size <= most + 1), F.col("line")).alias("short"),
         *[F.when((size > most) & when, key).alias(f"k{i}") for i, (when, key, _) in enumerate(_halves("line", F.lit(0).cast("long")))],
     )
