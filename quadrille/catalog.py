@@ -736,9 +736,23 @@ def g_betweenness(spark, sf):
     return scores.betweenness(v.nodes, v.edges()).select("iri", F.round("value", 6).alias("value"))
 
 
-@_query()
+def _k_core_sql(rounds: int) -> str:
+    """From the degree down: the most neighbours that have at least so many, until nothing changes."""
+    parts = [
+        "WITH l AS (SELECT 's/' || l_suppkey AS a, 'p/' || l_partkey AS b, count(*) AS w FROM lineitem GROUP BY ALL), u AS (SELECT a, b, w FROM l UNION ALL SELECT b, a, w FROM l), "
+        "k0 AS MATERIALIZED (SELECT a, CAST(sum(w) AS BIGINT) AS k FROM u GROUP BY a)"
+    ]
+    for i in range(rounds):
+        parts.append(
+            f", k{i + 1} AS MATERIALIZED (SELECT a, CAST(max(least(k, above)) AS BIGINT) AS k FROM (SELECT a, k, sum(w) OVER (PARTITION BY a ORDER BY k DESC) AS above FROM "
+            f"(SELECT u.a, least(s.k, o.k) AS k, sum(w) AS w FROM u JOIN k{i} s ON s.a = u.b JOIN k{i} o ON o.a = u.a GROUP BY ALL)) GROUP BY a)"
+        )
+    return "".join(parts) + f" SELECT a AS iri, CAST(k AS DOUBLE) AS value FROM k{rounds}"
+
+
+@_query(_k_core_sql(25))
 def g_k_core(spark, sf):
-    """Suppliers and parts by their orders. [M-04]"""
+    """Suppliers and parts by their orders; the SQL stands still after fewer rounds than it has. [M-04]"""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     e = li.select(F.concat(F.lit("s/"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("dst"))
     return scores.k_core(e.select(F.explode(F.array("src", "dst")).alias("iri")).distinct(), e)
@@ -766,7 +780,25 @@ def g_spectral(spark, sf):
     return community.spectral(v.nodes, v.edges())
 
 
-@_query()
+#: The growth of layers by bisection, their last ranks, and values that go whole to one layer.
+_LAYERS = (
+    _V.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", {_ENDS}, d AS (SELECT iri, count(b) AS value FROM v LEFT JOIN x ON a = iri GROUP BY iri), "
+    "s AS (SELECT count(*) AS n, CASE WHEN count(*) < 12 THEN 1 ELSE 4 END AS first FROM v), "
+    "q AS (SELECT 0 AS i, 1.0::DOUBLE AS low, greatest(2.0, n / first::DOUBLE) AS high FROM s UNION ALL SELECT i + 1, CASE WHEN below THEN m ELSE low END, CASE WHEN below THEN high ELSE m END "
+    "FROM (SELECT i, low, high, (low + high) / 2 AS m, first * (pow((low + high) / 2, 10) - 1) / ((low + high) / 2 - 1) < n AS below FROM q, s WHERE i < 200)), "
+    "grow AS (SELECT CASE WHEN first * 10 >= n THEN 1.0 ELSE (SELECT (low + high) / 2 FROM q WHERE i = 200) END AS q FROM s), "
+    "c AS (SELECT 0 AS i, CAST(floor(first + 0.5) AS BIGINT) - 1 AS last, first::DOUBLE AS size FROM s UNION ALL "
+    "SELECT i + 1, CASE WHEN i + 1 = 9 THEN n - 1 ELSE CAST(floor(last + 1 + size * grow.q + 0.5) AS BIGINT) - 1 END, size * grow.q FROM c, s, grow WHERE i < 9 AND last < n - 1), "
+    "cuts AS (SELECT least(last, n - 1) AS cut FROM c, s), "
+    "p AS (SELECT value, sum(count(*)) OVER (ORDER BY value DESC) - 1 AS last, sum(count(*)) OVER (ORDER BY value DESC) - count(*) AS first FROM d GROUP BY value), "
+    "k AS (SELECT value, least((SELECT count(*) FROM cuts) - 1, (SELECT count(*) FROM cuts WHERE cut < p.first)) AS a, least((SELECT count(*) FROM cuts) - 1, (SELECT count(*) FROM cuts WHERE cut < p.last)) AS b FROM p), "
+    "w AS (SELECT value, CASE WHEN a < b AND lag(a) OVER (ORDER BY value DESC) = a THEN b ELSE a END AS slot FROM k) "
+    "SELECT iri, CAST(11 - r AS INTEGER) AS layer FROM d JOIN (SELECT value, dense_rank() OVER (ORDER BY slot) AS r FROM w) USING (value)"
+)
+
+
+@_query(_LAYERS)
 def g_zoom_layers(spark, sf):
     """[M-11, W-02]"""
     v = _view(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import C, D2, N, R, _by_source, _query, _some, _view, _V
+from .catalog import _ENDS, C, D2, N, R, _by_source, _query, _view, _V
 from .functions import scalars
 from .functions.prefixes import DEFAULTS, Prefixes
 from .model import LABEL, RDF_TYPE, Graph
@@ -192,6 +192,15 @@ def load_project(spark, sf):
     return loader.load(spark, path).properties.where("pred = 'tpch:n_name'").select("iri", F.col("value").alias("name"), F.lit(sinks.restore_prefixes(spark, path).bases["q"]).alias("base"))
 
 
+@_query(f"SELECT {C} AS iri, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y, false AS locked FROM customer")
+def load_project_view(spark, sf):
+    """The positions of a stored view. [S-14, K-08]"""
+    path = shared_path(spark, "saved") + ".project"
+    g = lift(spark, sf, "customer")
+    sinks.store(g, path, view=_positions(spark, sf))
+    return sinks.restore_view(spark, path)
+
+
 @_query("SELECT count(*) AS blanks, count(DISTINCT c_nationkey) AS named FROM customer")
 def load_blank_nodes(spark, sf):
     """Blank nodes of different files stay apart, whatever their names. [N-11]"""
@@ -463,6 +472,20 @@ def graph_eigenvector(spark, sf):
     return scores.eigenvector(g.nodes.select("iri"), g.edges)
 
 
+@_query(
+    _V + f", {_ENDS}, d AS (SELECT iri, count(b) AS n FROM v LEFT JOIN x ON a = iri GROUP BY iri), k AS (SELECT iri, n, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS c FROM d) SELECT iri, "
+    "round((n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ())::DOUBLE, 9) AS degree, round(CASE WHEN max(c) OVER () = min(c) OVER () THEN 0.0 ELSE (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) END::DOUBLE, 9) AS core FROM k ORDER BY degree DESC, iri LIMIT 20"
+)
+def g_statistics(spark, sf):
+    """Scores that are kept, as one table by one of them; a forest has no core but the first. [M-13, M-15, O-10]"""
+    v = _view(spark, sf)
+    s = scores.Statistics(v.nodes, v.edges())
+    s.get(scores.Algorithm.DEGREE)
+    s.get(scores.Algorithm.K_CORE)
+    t = s.table(scores.Algorithm.DEGREE).limit(20)
+    return t.select("iri", F.round("degree", 9).alias("degree"), F.round("k-core", 9).alias("core"))
+
+
 _RING = "e AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, (7 * n_nationkey + 3) % 25 FROM nation UNION ALL SELECT 0, 1), u AS (SELECT a, b, count(*) AS w FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a <> b GROUP BY a, b)"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefixes import Prefixes
 from ..functions.scalars import distinct_colour, fixed
-from ..model import Graph
+from ..model import MAX_VISIBLE, Graph
 from ..operators.labels import highest_priority_types, node_labels
 from ..operators.view import View
 from .loader import SCHEMAS
@@ -54,7 +54,9 @@ def statistics_table(view: View, scores: dict[str, DataFrame], lang: str = "en")
 
 
 def svg(view: View, positions: DataFrame, radius: float = 20.0) -> str:
-    """A drawing of a view of bounded size. [K-06]"""
+    """A drawing of a view of at most MAX_VISIBLE nodes, each of which reaches the driver. [K-06]"""
+    if view.nodes.limit(MAX_VISIBLE + 1).count() > MAX_VISIBLE:
+        raise ValueError(f"a drawing has at most {MAX_VISIBLE} nodes")
     nodes = nodes_table(view).join(positions.select("iri", "x", "y"), "iri").orderBy("id").collect()
     at = {r["iri"]: (r["x"], r["y"]) for r in nodes}
     types = {t: distinct_colour(i) for i, t in enumerate(sorted({r["type"] for r in nodes}))}
@@ -62,7 +64,7 @@ def svg(view: View, positions: DataFrame, radius: float = 20.0) -> str:
     box = (min(xs) - 60, min(ys) - 60, max(xs) - min(xs) + 120, max(ys) - min(ys) + 120)
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="{" ".join(f"{v:.1f}" for v in box)}">']
     out.append('<defs><marker id="arrow" viewBox="0 0 10 10" refX="10" refY="5" markerWidth="6" markerHeight="6" orient="auto"><path d="M0 0L10 5L0 10z"/></marker></defs>')
-    for e in view.parallel_edges().orderBy("src", "dst", "place").collect():
+    for e in view.parallel_edges().orderBy("src", "dst", "place").toLocalIterator():
         if e["src"] not in at or e["dst"] not in at:
             continue
         (x0, y0), (x1, y1) = at[e["src"]], at[e["dst"]]
@@ -99,13 +101,14 @@ class Settings:
 
 
 def store(graph: Graph, path: str, prefixes: Prefixes | None = None, view: DataFrame | None = None, styles: DataFrame | None = None) -> None:
-    """A project: a Parquet data set for each table. [K-08]"""
+    """A project: a Parquet data set for each table.  view: the visible nodes, with what else is known of them (positions,
+    locks, layers). [K-08]"""
     spark = graph.nodes.sparkSession
     for name in SCHEMAS:
         getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
     (prefixes or Prefixes()).table(spark).write.mode("overwrite").parquet(f"{path}/prefixes")
     if view is not None:
-        view.select("iri").write.mode("overwrite").parquet(f"{path}/view")
+        view.write.mode("overwrite").parquet(f"{path}/view")
     if styles is not None:
         styles.write.mode("overwrite").parquet(f"{path}/styles")
 
@@ -116,5 +119,10 @@ def restore(spark: SparkSession, path: str) -> Graph:
     return Graph(*tables)
 
 
+def restore_view(spark: SparkSession, path: str) -> DataFrame:
+    """The visible nodes of a project, with their positions. [S-14]"""
+    return spark.read.parquet(f"{path}/view")
+
+
 def restore_prefixes(spark: SparkSession, path: str) -> Prefixes:
     return Prefixes({r["prefix"]: r["base"] for r in spark.read.parquet(f"{path}/prefixes").collect()}, defaults=False)

@@ -164,7 +164,7 @@ def test_contraction_of_neighbours_and_history(spark):
     assert past.do(v.clear()) is past.now and len(past.views) == 2
 
 
-def test_describe_over_http(spark):
+def test_describe_and_fetch_over_http(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -180,10 +180,18 @@ def test_describe_over_http(spark):
         def log_message(self, *_):
             pass
 
+        def do_GET(self):
+            asked.append((self.headers["Accept"], ""))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"<http://e/a> <http://e/p> <http://e/b> .\n")
+
     server = HTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     g = loader.DescribeAdapter(loader.endpoint(f"http://127.0.0.1:{server.server_port}/sparql")).load(spark, "http://e/a")
+    there = loader.fetch(spark, f"http://127.0.0.1:{server.server_port}/x", "nt", f"file://{tmp_path}/got/x.nt")
     server.shutdown()
+    assert loader.load(spark, there).edges.count() == 1 and asked.pop()[0] == "application/n-triples"
     assert (g.properties.count(), g.edges.count()) == (1, 1)
     assert asked[0][0] == "text/turtle" and asked[0][1].startswith("query=CONSTRUCT") and "http%3A%2F%2Fe%2Fa" in asked[0][1]
 
