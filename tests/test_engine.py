@@ -165,6 +165,13 @@ def test_all_neighbours_of_a_view_are_added(spark):
     assert View(g, spark.createDataFrame([("hub",)], "iri string")).expand_all().nodes.count() == n + 1
 
 
+def test_all_neighbours_of_a_type_are_added(spark):
+    g, n = _star(spark)
+    some = spark.range(MAX_VISIBLE - 10).select(F.concat(F.lit("x"), "id").alias("iri"))
+    view = View(g, some.unionByName(spark.createDataFrame([("hub",)], "iri string")))
+    assert view.expand_all(types=["T"]).nodes.count() == view.nodes.count() + n // 2
+
+
 def test_contraction_of_neighbours_and_history(spark):
     edges = spark.createDataFrame([(a, p, b, 0) for a, p, b in (("a", "p", "v"), ("v", "q", "w"), ("w", "r", "b"), ("c", "s", "w"))], EDGES)
     some = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
