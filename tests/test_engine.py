@@ -179,6 +179,13 @@ def test_all_that_a_node_refers_to_is_added(spark):
     assert view.expand(view.nodes, "out", most=7).nodes.count() == 7
 
 
+def test_all_that_refers_to_a_node_is_added(spark):
+    g, n = _star(spark)
+    g = g.with_(edges=g.edges.select(F.col("dst").alias("src"), "pred", F.col("src").alias("dst"), "seq"))
+    view = View(g, spark.createDataFrame([("hub",)], "iri string"))
+    assert view.expand(view.nodes, "in", "p").nodes.count() == n + 1
+
+
 def test_contraction_of_neighbours_and_history(spark):
     edges = spark.createDataFrame([(a, p, b, 0) for a, p, b in (("a", "p", "v"), ("v", "q", "w"), ("w", "r", "b"), ("c", "s", "w"))], EDGES)
     some = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
