@@ -14,7 +14,7 @@ LABEL = "rdfs:label"
 RDF_TYPE, RDF_FIRST, RDF_REST, RDF_NIL = "rdf:type", "rdf:first", "rdf:rest", "rdf:nil"
 #: Plain literals of fewer bytes are short strings: only these can be keys, or frequent values.
 SHORT_BYTES = 32
-#: Most nodes of a visible graph.
+#: Most nodes of a drawing.  Views hold any number.
 MAX_VISIBLE = 40_000
 
 TRIPLES = "subj string, subj_is_blank boolean, pred string, obj string, obj_kind string, datatype string, lang string, seq long"

@@ -187,7 +187,7 @@ def spectral_local(n: int, pairs: list[tuple[int, int]], resolution: float = 1.0
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(iri, cluster, fiedler) of a view, whose nodes MAX_VISIBLE bounds: one eigenproblem in one task."""
+    """(iri, cluster, fiedler) of a view: one eigenproblem in one task, which holds the view."""
     rows = nodes.select(F.col("iri").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

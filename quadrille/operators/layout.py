@@ -86,7 +86,7 @@ def layers_local(names: list[str], links: set[tuple[str, str]]) -> dict[str, int
 
 
 def _one_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows of a view, whose nodes MAX_VISIBLE bounds, as one group: (src, dst), and (iri, null) for each node."""
+    """The rows of a view as one group, so in one task: (src, dst), and (iri, null) for each node."""
     rows = nodes.select(F.col("iri").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("src", "dst").distinct())
     return rows.withColumn("_all", F.lit(1)).groupBy("_all")
 

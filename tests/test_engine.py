@@ -186,6 +186,13 @@ def test_all_that_refers_to_a_node_is_added(spark):
     assert view.expand(view.nodes, "in", "p").nodes.count() == n + 1
 
 
+def test_all_rows_of_a_table_are_added(spark):
+    g, n = _star(spark)
+    view = View(g, spark.createDataFrame([("hub",)], "iri string"))
+    rows = g.edges.select(F.col("dst").alias("iri"))
+    assert view.add(rows).nodes.count() == n + 1 and view.add(rows, MAX_VISIBLE).nodes.count() == MAX_VISIBLE
+
+
 def test_contraction_of_neighbours_and_history(spark):
     edges = spark.createDataFrame([(a, p, b, 0) for a, p, b in (("a", "p", "v"), ("v", "q", "w"), ("w", "r", "b"), ("c", "s", "w"))], EDGES)
     some = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
