@@ -178,8 +178,8 @@ def load_folder(spark, sf):
     nations = spark.read.parquet(f"{sf}/nation.parquet")
     files["two"] = "ttl", nations.select(F.concat(F.lit("<http://x.org/n/"), F.col("n_nationkey").cast("string"), F.lit('> <http://x.org/name> "'), "n_name", F.lit('" .')).alias("value"))
     files["three"] = "csv", nations.select(F.col("n_name").alias("value"))
-    for name, (kind, df) in files.items():  # one file each: a small example of a folder
-        loader.write_file(spark, f"{path}/{name}/{name}.{kind}", "\n".join(r[0] for r in df.toLocalIterator()).encode())
+    for name, (kind, df) in files.items():
+        loader.write_lines(df, f"{path}/{name}", kind)
     return _facts(loader.load_folder(spark, path))
 
 

@@ -109,10 +109,10 @@ def _unescape(c):
     return F.when(F.contains(c, F.lit("\\")), F.coalesce(F.get(F.from_json(quoted, "array<string>"), 0), c)).otherwise(c)
 
 
-def ntriples(spark: SparkSession, path: str | list[str], prefixes: dict[str, str] | None = None) -> DataFrame:
+def ntriples(spark: SparkSession, path: str | list[str], prefixes: dict[str, str] | None = None, reader=None) -> DataFrame:
     """N-Triples and N-Quads line by line, by built-in functions; the graph's name is dropped. [S-03, S-05]"""
     p = Prefixes(prefixes)
-    line = spark.read.text(path).select(F.trim("value").alias("l"), F.hex(F.xxhash64("_metadata.file_path")).alias("f"), F.monotonically_increasing_id().alias("seq")).where(~F.startswith("l", F.lit("#")) & (F.col("l") != ""))
+    line = (reader or spark.read).text(path).select(F.trim("value").alias("l"), F.hex(F.xxhash64("_metadata.file_path")).alias("f"), F.monotonically_increasing_id().alias("seq")).where(~F.startswith("l", F.lit("#")) & (F.col("l") != ""))
     pattern = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
     cut = line.where(F.col("l").rlike(pattern)).select("f", "seq", *[F.regexp_extract("l", pattern, i).alias(c) for i, c in ((1, "s"), (2, "p"), (3, "o"))])
     blank = lambda c: F.concat(F.lit("_:"), F.col("f"), F.lit(":"), F.substring(c, F.lit(3), F.length(c)))
@@ -198,14 +198,13 @@ def load(spark: SparkSession, path: str, languages: list[str] | None = None, pre
 
 def load_folder(spark: SparkSession, path: str, languages: list[str] | None = None) -> Graph:
     """All RDF files in a folder and those in it; CSV and JSON are left out, and files with mistakes give what could
-    be read. [S-11, U-06]"""
+    be read.  N-Triples and N-Quads are split by lines, other files are read whole. [S-11, U-06]"""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.lower(F.substring_index("path", ".", -1)).alias("kind")).distinct().collect()
     kinds = sorted({r["kind"] for r in names} & set(FOLDER_EXTENSIONS))
     out = None
     for kind in kinds:
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
-
-        got = _parsed(_whole(reader, path), kind, None, True)
+        got = ntriples(spark, path, reader=reader) if kind in ("nt", "nq") else _parsed(_whole(reader, path), kind, None, True)
         out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], TRIPLES)
@@ -233,6 +232,18 @@ def write_file(spark: SparkSession, target: str, data: bytes) -> None:
         out.close()
 
 
+def write_lines(lines: DataFrame, folder: str, kind: str) -> None:
+    """Files with an extension in a new folder, one for each task that has lines: none of these reach the driver."""
+    lines.write.text(folder)
+    jvm, conf = lines.sparkSession.sparkContext._jvm, lines.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(conf)
+    for found in fs.listStatus(where):
+        name = found.getPath().getName()
+        if name.endswith(".txt") and not fs.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(where, f"{name[:-4]}.{kind}")):
+            raise OSError(f"{found.getPath()} keeps its name")
+
+
 def describe_query(iri: str, most: int = 500) -> str:
     """What a remote endpoint would be asked about one node. [S-13]"""
     return f"CONSTRUCT {{ <{iri}> ?p ?o . ?s ?q <{iri}> }} WHERE {{ {{ <{iri}> ?p ?o }} UNION {{ ?s ?q <{iri}> }} }} LIMIT {most}"

@@ -284,6 +284,19 @@ def test_files(spark, tmp_path):
     assert "Ä" not in {r["value"] for r in english.properties.collect()}
 
 
+def test_lines_of_a_folder_are_split(spark, tmp_path):
+    lines = spark.range(30_000).select(F.format_string('<http://e/%d> <http://e/p> "%d" .', "id", "id").alias("value"))
+    loader.write_lines(lines.coalesce(1), str(tmp_path / "one"), "nt")
+    loader.write_lines(lines.limit(2), str(tmp_path / "two"), "csv")
+    assert [p.name[:5] for p in (tmp_path / "one").glob("*.nt")] == ["part-"] and not list(tmp_path.glob("*/*.txt"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        found = loader.load_folder(spark, str(tmp_path)).properties
+        assert found.rdd.getNumPartitions() > 1 and found.select("value").distinct().count() == found.count() == 30_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_and_xml_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"Id": 1, "tags": ["a", "b"], "in side": {"ok": true, "x": null, "f": 1.5}}, {"Id": 2}]')
     g = loader.load(spark, str(tmp_path / "a.json"))
