@@ -58,6 +58,29 @@ def test_page_rank_and_eigenvector_of_a_graph_with_cycles(spark):
         assert max(abs(a - b) for a, b in zip(values(found), want)) < 1e-4
 
 
+def test_eigenvector_counts_leaves_once_and_takes_few_plans(spark, monkeypatch):
+    import numpy as np
+
+    # two hubs with leaves, some by double edges, a loop, a pair apart, and a node alone
+    pairs = [(0, 1)] + [(0, i) for i in range(2, 8)] + [(i, 1) for i in range(8, 12)] + [(0, 12), (0, 12), (1, 13), (13, 1), (1, 1), (14, 15)]
+    m = np.zeros((17, 17))
+    for a, b in pairs:
+        m[a, b] += 1
+        m[b, a] += 1
+    want = np.ones(17)
+    for _ in range(100):
+        want = m @ want
+        want /= np.sqrt(want @ want)
+    cuts, cut = [], scores.cut
+    monkeypatch.setattr(scores, "cut", lambda df: cuts.append(1) or cut(df))
+    assert values(scores.eigenvector(*graph(spark, 17, pairs), tolerance=0.0)) == pytest.approx(want.round(6).tolist(), abs=2e-6)
+    assert len(cuts) < 10
+    monkeypatch.setattr(scores, "MOST_SENT", 0)
+    assert values(scores.eigenvector(*graph(spark, 17, pairs), rounds=12, tolerance=0.0))[16] == 0
+    assert values(scores.eigenvector(*graph(spark, 17, pairs))) == pytest.approx(want.round(6).tolist(), abs=2e-6)
+    assert values(scores.eigenvector(*graph(spark, 3, []))) == [0, 0, 0]
+
+
 def test_least_vectors_without_a_dense_matrix(monkeypatch):
     import numpy as np
 
