@@ -256,7 +256,9 @@ class FingerprintIndex:
         made, path = stage(self._dealt(entries).mapInArrow(_merge(self.buckets, tell_least, history_told), _ROWS), log)
         self.runs[log].append((made.where(F.col("kind") == _RUN), path))
         told = told.unionByName(made.where(F.col("kind") == _TOLD))
+        release(self.spark)  # each of these shuffles is as large as the log's rows, and is read no more
         found, where = stage(self._dealt(told).mapInArrow(_gather, "_id long, _told binary"), "told")
+        release(self.spark)
         if len(self.runs[log]) > self.most_runs:
             runs = self.runs[log][0][0]
             for run, _ in self.runs[log][1:]:

@@ -401,6 +401,15 @@ def test_substring_index_in_many_batches(spark, most_runs):
     assert runs[:4] == ([[1, 1]] * 4 if most_runs == 1 else [[1, 1], [2, 2], [3, 3], [1, 1]])
 
 
+def test_substring_shuffles_go_when_they_are_read(spark, docs, monkeypatch):
+    from quadrille.llm import substring_dedup
+
+    told, release = [], substring_dedup.release
+    monkeypatch.setattr(substring_dedup, "release", lambda spark: told.append(1) or release(spark))
+    dedup_substrings(docs, batches=2).count()
+    assert len(told) >= 8  # after either write of either log, of either batch
+
+
 def test_substrings_with_clashing_names(spark, texts):
     names = ("_id", "_t", "_told", "told", "n", "id", "t", "_c0", "kind", "bucket")
     rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
