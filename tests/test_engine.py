@@ -230,6 +230,10 @@ def test_what_refers_to_a_node_is_added_once_to_repeated_nodes(spark):
     assert sorted(r["iri"] for r in v.expand(v.nodes, "in", "p").nodes.collect()) == ["a", "b", "hub", "x"]
 
 
+def test_neighbours_of_a_type_are_added_once_to_repeated_nodes(spark):
+    assert sorted(r["iri"] for r in _repeated(spark).expand_all(types=["T"]).nodes.collect()) == ["b", "hub", "x"]
+
+
 def test_contraction_of_neighbours_and_history(spark):
     edges = spark.createDataFrame([(a, p, b, 0) for a, p, b in (("a", "p", "v"), ("v", "q", "w"), ("w", "r", "b"), ("c", "s", "w"))], EDGES)
     some = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
