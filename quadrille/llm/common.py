@@ -58,13 +58,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "1000")
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor
-    costs no recomputation.  Returns the table and its path; it goes when the program ends."""
+    costs no recomputation.  What the write shuffled goes with its end, not when the driver happens to collect its
+    garbage.  Returns the table and its path; it goes when the program ends."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_discard_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -256,7 +256,7 @@ class FingerprintIndex:
         made, path = stage(self._dealt(entries).mapInArrow(_merge(self.buckets, tell_least, history_told), _ROWS), log)
         self.runs[log].append((made.where(F.col("kind") == _RUN), path))
         told = told.unionByName(made.where(F.col("kind") == _TOLD))
-        release(self.spark)  # each of these shuffles is as large as the log's rows, and is read no more
+        release(self.spark)
         found, where = stage(self._dealt(told).mapInArrow(_gather, "_id long, _told binary"), "told")
         release(self.spark)
         if len(self.runs[log]) > self.most_runs:
@@ -314,15 +314,22 @@ class FingerprintIndex:
         discard(self.spark, path)
         texts = batch if history is None else batch.unionByName(history)
         made, path = stage(texts.join(flagged.hint("merge"), "_id").mapInArrow(tasks(windows, False), _ROWS), "new")
+        discard(self.spark, flags)
         found, where = self._round("windows", made, False, False)
         discard(self.spark, path)
-        discard(self.spark, flags)
         if history is None:
             return found
         new, _ = stage(found.join(batch.select("_id").distinct().hint("merge"), "_id", "left_semi"), "told")
         discard(self.spark, where)
         return new
 
+    def close(self) -> None:
+        """Delete the runs, when no batch is to come."""
+        for log in self.runs.values():
+            for _, path in log:
+                discard(self.spark, path)
+            log.clear()
+
 
 def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), None if held[0][2] is None else np.concatenate([x[2] for x in held])
@@ -356,6 +363,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             new = new & (F.col("_id") <= high)
         results.append(index.add(base.where(new), past))
         release(spark)
+    index.close()
     told = results[0]
     for more in results[1:]:
         told = told.unionByName(more)

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from array import array
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import chat_format
 from quadrille.llm import queries as llm_queries
 from quadrille.llm.best_fit_packing import WEIGHTS, WordTokens, pack_documents, plan, word_bpe_path
+from quadrille.llm.common import shared_dir, stage
 from quadrille.llm.components import components
 from quadrille.llm.embedding_dedup import embedding_components, part_width
 from quadrille.llm.license_scan import NOTICES, scan_licenses
@@ -410,6 +413,23 @@ def test_substring_shuffles_go_when_they_are_read(spark, docs, monkeypatch):
     assert len(told) >= 8  # after either write of either log, of either batch
 
 
+def test_a_staged_table_leaves_no_shuffle_and_no_run_behind(spark, docs):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in disk.getAllBlocks().mkString("\n").split("\n") if x.startswith("shuffle")}
+    staged = lambda: {d for d in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/staged") if d.startswith(("anchors", "windows", "new"))}
+    stage(spark.range(10), "none")
+    tables = staged()
+    assert dedup_substrings(docs).count() == docs.count()
+    assert staged() <= tables and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    before = shuffles()
+    stage(spark.range(1000).repartition(4, "id"), "dealt")
+    for _ in range(50):  # Spark deletes them a moment later
+        if shuffles() <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffles are left")
+
+
 def test_substrings_with_clashing_names(spark, texts):
     names = ("_id", "_t", "_told", "told", "n", "id", "t", "_c0", "kind", "bucket")
     rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
