@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,7 +66,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor
     costs no recomputation.  What the write shuffled goes with its end, not when the driver happens to collect its
-    garbage.  Returns the table and its path; it goes when the program ends."""
+    garbage, and the driver gives back the memory that it took.  Returns the table and its path; it goes when the program ends."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
@@ -75,13 +76,40 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    release(spark)
     atexit.register(_discard_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver for a collection, after which Spark deletes shuffle files nothing refers to."""
+    """Ask the driver for a collection, after which Spark deletes shuffle files nothing refers to, and have its JVM give
+    memory outside the heap back to the system: hundreds of threads plan and compile, and what they free stays in
+    their arenas, some hundred MB after a thousand stages."""
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """What trim() does, for the driver's JVM, and what it says of it; "" if it cannot."""
+    sc = spark.sparkContext
+    lang, new = sc._jvm.java.lang, sc._gateway.new_array
+
+    def array(kind, *values):
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    named = getattr(lang, "Class").forName
+    kinds = [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    try:
+        # by reflection: the server's own class is not open to Py4J
+        invoke = named("javax.management.MBeanServerConnection").getMethod("invoke", array(getattr(lang, "Class"), *kinds))
+        command = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = array(lang.Object, command, "systemTrimNativeHeap", array(lang.Object, array(lang.String)), array(lang.String, "[Ljava.lang.String;"))
+        return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM, or an older one
+        return ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, span_hashes, stage, trim, word_spans
+from .common import by_bytes, flat, release, span_hashes, stage, trim, word_spans
 
 #: Buckets of hashed words; features of a page that come from its layout; buckets of source and language.
 BITS, LAYOUT, NAMED = 18, 10, 64
@@ -272,6 +272,7 @@ def classify(
         more = views(sorted({i for x in given.values() for i in x}))
         heads = fit()
         trim()
+        release(spark)
 
     shared = spark.sparkContext.broadcast([h.packed() for h in heads])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat, mix, release, span_hashes, stage, trim, word_spans
+from .common import by_bytes, flat, mix, span_hashes, stage, trim, word_spans
 from .components import components
 from .simhash_dedup import _Forest, fingerprints, linked
 
@@ -152,7 +152,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     close = linked(lows.select("fp"), radius).join(at("a", "v"), "a").join(at("b", "w"), "b").select("v", "w")
     prints = equal.unionByName(close).where("v <> w").select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w"))
     asked, _ = stage(pairs.unionByName(stars).unionByName(prints).distinct(), "asked")
-    release(docs.sparkSession)
 
     def sets(of: DataFrame) -> DataFrame:
         return _sets(docs, vertices.select("v", "id").join(of, "v", "left_semi"), id_col, text_col, width)

@@ -430,6 +430,15 @@ def test_a_staged_table_leaves_no_shuffle_and_no_run_behind(spark, docs):
     raise AssertionError("shuffles are left")
 
 
+def test_a_staged_table_gives_the_drivers_memory_back(spark, monkeypatch):
+    from quadrille.llm import common
+
+    said, trim = [], common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda spark: said.append(trim(spark)))
+    stage(spark.range(10), "none")
+    assert len(said) == 1 and "native heap" in said[0]
+
+
 def test_substrings_with_clashing_names(spark, texts):
     names = ("_id", "_t", "_told", "told", "n", "id", "t", "_c0", "kind", "bucket")
     rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
