@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -63,6 +64,18 @@ def small_batches(spark: SparkSession) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _few_processes(spark: SparkSession) -> dict[str, str]:
+    """Options of a write by which Hadoop starts two processes a task on a local or mounted folder, not three; elsewhere they say nothing.
+
+    Without its native library Hadoop runs chmod for each folder and file.  Until such a child runs its own program it shares its
+    parent's memory, and whoever adds up processes sees the JVM's twice.  The class below the usual one writes no checksum
+    files beside the data.  Another class that the session names stays."""
+    usual = "org.apache.hadoop.fs.LocalFileSystem"
+    if spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl", usual) != usual:
+        return {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor
     costs no recomputation.  What the write shuffled goes with its end, not when the driver happens to collect its
@@ -73,7 +86,7 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**_few_processes(spark)).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     release(spark)
@@ -84,9 +97,26 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def release(spark: SparkSession) -> None:
     """Ask the driver for a collection, after which Spark deletes shuffle files nothing refers to, and have its JVM give
     memory outside the heap back to the system: hundreds of threads plan and compile, and what they free stays in
-    their arenas, some hundred MB after a thousand stages."""
+    their arenas, some hundred MB after a thousand stages.  Now and then the executors collect as well."""
     spark.sparkContext._jvm.System.gc()
     trim_jvm(spark)
+    collect_executors(spark)
+
+
+#: Seconds between collections of the executors, which take some tenths of one each; when the last one was.
+_COLLECT_EVERY, _collected = 5.0, {"at": 0.0}
+
+
+def collect_executors(spark: SparkSession) -> int:
+    """Have each executor's JVM collect its garbage, after which its heap shrinks to a few times what it holds; by itself it only
+    grows, up to its limit.  Returns how many were asked: none in local mode, where the driver's JVM is the only one, or
+    if they were asked a moment ago."""
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if n < 1 or time.monotonic() < _collected["at"] + _COLLECT_EVERY:
+        return 0
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").collect()  # idle executors get one task each
+    _collected["at"] = time.monotonic()
+    return n
 
 
 def trim_jvm(spark: SparkSession) -> str:

@@ -439,6 +439,42 @@ def test_a_staged_table_gives_the_drivers_memory_back(spark, monkeypatch):
     assert len(said) == 1 and "native heap" in said[0]
 
 
+def test_a_staged_table_has_no_checksum_files(spark):
+    files = lambda path: [f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".crc")]
+    table, path = stage(spark.range(100), "none")
+    assert files(path) == [] and table.count() == 100
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert conf.get("fs.file.impl") != "org.apache.hadoop.fs.RawLocalFileSystem"  # the session's own writes are as before
+
+
+def test_executors_collect_now_and_then(spark, monkeypatch):
+    from quadrille.llm import common
+
+    class Executors:
+        """The session, as if it had two executors: in local mode the driver does their tasks."""
+
+        def __init__(self):
+            self.sparkContext = self._jsc = self
+            self.range = spark.range
+
+        def sc(self):
+            return self
+
+        def getExecutorMemoryStatus(self):  # noqa: N802
+            return self
+
+        def size(self):
+            return 3
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(x.getCollectionCount() for x in beans())
+    monkeypatch.setitem(common._collected, "at", -1e9)
+    assert common.collect_executors(spark) == 0
+    before = collections()
+    assert common.collect_executors(Executors()) == 2 and collections() >= before + 2
+    assert common.collect_executors(Executors()) == 0
+
+
 def test_substrings_with_clashing_names(spark, texts):
     names = ("_id", "_t", "_told", "told", "n", "id", "t", "_c0", "kind", "bucket")
     rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
